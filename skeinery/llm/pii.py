@@ -161,6 +161,8 @@ def _features(segment: str, words: int, cue: str) -> tuple[str, ...]:
     if 13 <= n <= 19:
         out.append(f"luhn={luhn(digits)}")
         out.append(f"long luhn={luhn(digits)} letters={letters > 0}")
+    if letters:
+        out.append(f"upper={segment.isupper()} at={'@' in segment}")
     if segment.startswith("+"):
         out.append("plus")
     if segment.startswith("("):
@@ -306,6 +308,9 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, str]]]]:
         lambda: (-1, "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40]))) + d(1)),
         lambda: (-1, f'"{"".join(r.choice("0123456789abcdef") for _ in range(31))}{d(1)}"'),
         lambda: (-1, f"{w()}{d(2)}"),
+        lambda: (-1, f"{w()}.{d(3)}"),
+        lambda: (-1, "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(r.randint(12, 24))) + d(1)),
+        lambda: (-1, r.choice(["", "ghp_", "sk-"]) + "".join(r.choice("ABCDEFGHIJKLabcdefghijkl0123456789") for _ in range(r.randint(16, 40)))),
         lambda: (-1, f"@{w()}"),
         lambda: (-1, f"{d(2)}:{d(2)}"),
         lambda: (-1, f"{r.randint(1, 99)}%"),
