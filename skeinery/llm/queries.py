@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import line_dedup, media, mixing, neighbours, packing, pii, simhash, warc
+from skeinery.llm import line_dedup, media, mixing, neighbours, packing, pii, simhash, url_filter, warc
 from skeinery.llm._common import table
 
 
@@ -27,6 +27,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return got.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
     got = warc.read_archives(manifest, with_data=False).filter("last")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_source_mixing,
         op2_pii,
         op4_line_dedup,
+        op5_url_filter,
         op6_warc,
         op7_packing,
         op8_nearest_neighbours,
