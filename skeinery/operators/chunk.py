@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skeinery.functions.text import content_hash, is_code_file
 from skeinery.operators.chunk_code import chunk_code
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n|$)\s*")
+_END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
 def line_pieces(df: DataFrame, budget: int = 3200, text: str = "text") -> DataFrame:
@@ -41,7 +41,8 @@ def line_pieces(df: DataFrame, budget: int = 3200, text: str = "text") -> DataFr
 
 def sentences(text: str) -> list[str]:
     """Sentences with what follows them, so that they join to the text again."""
-    return [m[0] for m in _SENTENCE.finditer(text) if m[0]]
+    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def sentence_windows(text: str, size: int = 800, overlap: int = 150, count: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
