@@ -56,8 +56,7 @@ def test_held_out_accuracy(net):
 
 
 def test_long_texts_are_scored_whole(net):
-    clean = " ".join(corpus(400, 5)[0][i] for i in range(400) if not corpus(1, 1)[1][0] or True)
-    words = [w for w in clean.split() if not w.startswith("zgrum") and w != "vile"] * 12
+    words = [w for w in " ".join(corpus(400, 5)[0]).split() if not w.startswith("zgrum") and w != "vile"] * 12
     assert len(words) > 2 * T.AT_ONCE
     low, high = T.Scorer(net)([" ".join(words), " ".join(words[:-5] + ["zgrumba"] + words[-5:])])
     assert low < 0.5 <= high
