@@ -15,6 +15,7 @@ matter. Every id lies in exactly one piece, and every sequence is gapless from 0
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,14 +32,19 @@ END_ID = 1
 SALTS = 32
 #: Chunks of text whose ids a worker remembers; forgotten all at once when there are more.
 REMEMBERED = 250_000
+#: Characters whose words are in memory at once.
+AT_ONCE = 1 << 20
+_BLANK = re.compile(r"\s")
 
 
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, through a memory of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order. A full
-    stop or comma after a letter is a word of its own for it as well. Texts where this could fail (special tokens'
-    marks, or separators that only Python takes for white space) go to the tokenizer whole.
+    stop or comma after a letter is a word of its own for it as well. New words of letters alone are encoded together,
+    a thousand at once: each is one token sequence whose last token, and no other, has the end-of-word mark. Texts
+    where this could fail (special tokens' marks, or separators that only Python takes for white space) go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -46,45 +52,73 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def _parts(self, word: str) -> tuple[str, ...]:
-        if len(word) > 1 and word[-1] in ".," and word[-2] < "԰" and word[:-1].isalpha():
-            return (self._plain(word[:-1]), word[-1])
-        return (self._plain(word),)
-
-    @staticmethod
-    def _plain(word: str) -> str:
-        return word.lower() if word.isascii() else word
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
         for i, ids in zip(whole, self.encode([texts[i] for i in whole]) if whole else []):
             out[i] = ids
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        short = [i for i, t in enumerate(texts) if out[i] is None and len(t) <= AT_ONCE]
+        split = [texts[i].split() for i in short]
+        self.learn(set().union(*split))
+        for i, words in zip(short, split):
+            out[i] = b"".join(map(self.known.__getitem__, words))
         for i, text in enumerate(texts):
             if out[i] is None:
-                out[i] = self._words(text.split())
+                parts = []
+                for words in map(str.split, _slices(text)):
+                    if len(self.known) > REMEMBERED:
+                        self.known.clear()
+                    self.learn(set(words))
+                    parts.append(b"".join(map(self.known.__getitem__, words)))
+                out[i] = b"".join(parts)
         return out
 
-    def _words(self, words: list[str]) -> bytes:
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > REMEMBERED:
-                known.clear()
-                found = [None] * len(words)
-            missing = {w: self._parts(w) for w, f in zip(words, found) if f is None}
-            new = list({p for parts in missing.values() for p in parts if p not in known})
-            known.update(zip(new, self.encode(new)))
-            made = {w: b"".join([known[p] for p in parts]) for w, parts in missing.items()}
-            # Words in capitals or with a stop are remembered too if they are short, since those recur.
-            known.update((w, ids) for w, ids in made.items() if len(w) < 8)
-            found = [made[w] if f is None else f for w, f in zip(words, found)]
-        return b"".join(found)
+    def learn(self, words: set[str]) -> None:
+        """Have the ids of ``words`` in memory."""
+        known, letters, others, stopped = self.known, {}, [], []
+        for w in words.difference(known):
+            plain = w.lower() if w.isascii() else w
+            stem = plain[:-1] if plain[-1] in ".," else plain
+            # Letters that any version of Unicode's tables knows, so that Python and the tokenizer agree.
+            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                letters[stem] = known.get(stem)
+                stopped.append((w, stem, plain[len(stem) :]))
+            else:
+                others.append(w)
+        new = [s for s, ids in letters.items() if ids is None]
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                letters.update((w, data[lo:hi]) for w, lo, hi in zip(part, [0, *cuts], cuts))
+            else:
+                letters.update(zip(part, self.encode(part)))
+        for at in range(0, len(others), 1000):
+            part = others[at : at + 1000]
+            known.update(zip(part, self.encode(part)))
+        marks = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
+        known.update((w, letters[stem] + marks[mark]) for w, stem, mark in stopped)
+
+
+def _slices(text: str) -> Iterator[str]:
+    """A long text in parts that end at white space, so that not all its words are in memory at once."""
+    at = 0
+    while at < len(text):
+        m = _BLANK.search(text, at + AT_ONCE)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 def tokenised(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
