@@ -108,6 +108,10 @@ class Index:
         self.directions = np.random.default_rng(seed).standard_normal((self.vectors.shape[1], projections))
         self.points = (self.vectors / self.norms[:, None]) @ self.directions
         self.tree = Tree(self.points)
+        # In the tree's order, so that a leaf is a slice.
+        order = self.tree.order
+        self.members = [self.members[i] for i in order.tolist()]
+        self.points, self.vectors, self.norms = self.points[order], self.vectors[order], self.norms[order]
 
     def search(self, query_id: int, query: np.ndarray, limit: float) -> list[tuple[float, int]]:
         """The k nearest found as (cosine, id); ``limit`` is the chi-square quantile that ends the search."""
@@ -115,16 +119,18 @@ class Index:
         norm = math.sqrt(float((query * query).sum()))
         at = (query / norm) @ self.directions
         bound = self.tree.distances(at)
-        # Incremental: leaves by their least projected distance, a few at a time, until the next is too far.
+        # Incremental: leaves by their least projected distance, until the next is too far; the further, the more at a
+        # time. Of a leaf only rows whose own projected distance passes the test are verified.
         best: list[tuple[float, int]] = []
         order, step, done = np.argsort(bound, kind="stable"), 4, 0
         while done < len(order):
-            if len(best) >= k:
-                far = max(0.0, 2 - 2 * best[k - 1][0])
-                if bound[order[done]] > limit * far:
-                    break
-            rows = np.concatenate([self.tree.order[slice(*self.tree.leaves[i])] for i in order[done : done + step]])
-            done += step
+            reach = limit * max(0.0, 2 - 2 * best[k - 1][0]) if len(best) >= k else math.inf
+            if bound[order[done]] > reach:
+                break
+            rows = np.concatenate([np.arange(*self.tree.leaves[i]) for i in order[done : done + step]])
+            done, step = done + step, min(2 * step, 64)
+            gap = self.points[rows] - at
+            rows = rows[(gap * gap).sum(axis=1) <= reach]
             got = cosine(self.vectors[rows], self.norms[rows], query, norm)
             if len(best) >= k:
                 near = got >= best[k - 1][0]
