@@ -232,5 +232,6 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
                 if rows:
                     yield packed(rows)
 
-    # A row is up to 32 MB of work: one task each, as far as there are tasks.
-    return splits.repartition(F.col("archive"), F.col("split")).mapInArrow(read, CHUNKS)
+    # A row is 32 MB of work but a few bytes: the number of tasks is given, or else AQE would put all rows into one.
+    splits = materialise(splits, "warc-splits")
+    return splits.repartition(max(1, splits.count())).mapInArrow(read, CHUNKS)
