@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ WINDOW = 2048
 END_ID = 1
 SALTS = 32
 #: Chunks of text whose ids a worker remembers; forgotten all at once when there are more.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Characters whose words are in memory at once.
 AT_ONCE = 1 << 20
 _BLANK = re.compile(r"\s")
@@ -107,10 +108,17 @@ class WordIds:
         for at in range(0, len(others), 1000):
             part = others[at : at + 1000]
             known.update(zip(part, self.encode(part)))
+        known.update(letters)  # they will come again with another mark
         marks = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
         known.update((w, letters[stem] + marks[mark]) for w, stem, mark in stopped)
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory for a worker process, kept from task to task."""
+    return WordIds(path)
+
+
 def _slices(text: str) -> Iterator[str]:
     """A long text in parts that end at white space, so that not all its words are in memory at once."""
     at = 0
@@ -129,7 +137,7 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         # Numbers by partition and place: the input is a stored table, so a repeated task counts alike.
         uid = windows = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -262,7 +270,7 @@ def sequences(pieces: DataFrame, docs: DataFrame, tokenizer: str, window: int =
     @F.arrow_udf("array<long>")
     def ids(texts: pa.Array) -> pa.Array:
         end = np.array([end_id], "<u4").tobytes()
-        return pa.array([np.frombuffer(x + end, "<u4").astype(np.int64) for x in WordIds(tokenizer)([t.as_py() or "" for t in texts])], pa.list_(pa.int64()))
+        return pa.array([np.frombuffer(x + end, "<u4").astype(np.int64) for x in word_ids(tokenizer)([t.as_py() or "" for t in texts])], pa.list_(pa.int64()))
 
     cut = pieces.join(docs.select("doc_id", ids(F.col("text")).alias("ids")), "doc_id")
     cut = cut.select("sequence_id", F.struct("offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids")).alias("piece"))
