@@ -35,17 +35,23 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 13
 #: Words whose gate inputs a worker remembers, and words that it scores at once.
 REMEMBERED, AT_ONCE = 150_000, 60_000
+#: Words whose n-grams are in memory at once.
+BLOCK = 20_000
 _STRIP = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡…"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)  # the odd fixed point of Fibonacci hashing
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _PRIME
-    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: its bucket; and of all their n-grams: bucket and word number (ascending)."""
+    if len(words) > BLOCK:
+        parts = [features(words[lo : lo + BLOCK]) for lo in range(0, len(words), BLOCK)]
+        owners = [(own + np.int32(k * BLOCK)) for k, (_, _, own) in enumerate(parts)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(owners)
     marked = [f"<{w.lower().strip(_STRIP) or '-'}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -53,7 +59,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(codes)) - np.repeat(starts, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _PRIME, np.uint64))
     word = _mix(np.add.reduceat((codes + np.uint64(1)) * powers[place], starts))
-    owner, left = np.repeat(np.arange(len(words)), lengths), np.repeat(lengths, lengths) - place
+    owner, left = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.repeat(lengths, lengths) - place
     grams, owners = [], []
     for n in (3, 4):
         if len(codes) < n:
@@ -96,6 +102,11 @@ class Network:
 
     def inputs(self, word, gram, owner) -> tuple[np.ndarray, np.ndarray]:
         """Each word's input vector, and one over its number of n-grams."""
+        if len(word) > BLOCK:
+            edges = [*range(0, len(word), BLOCK), len(word)]
+            at = np.searchsorted(owner, edges)
+            parts = [self.inputs(word[a:b], gram[lo:hi], owner[lo:hi] - a) for a, b, lo, hi in zip(edges, edges[1:], at, at[1:])]
+            return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
         n = np.bincount(owner, minlength=len(word)).astype(np.float32)
         share = (1 / np.maximum(n, 1))[:, None].astype(np.float32)
         starts = np.searchsorted(owner, np.arange(len(word)))
@@ -103,7 +114,12 @@ class Network:
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Words' gate inputs for both directions."""
-        return np.concatenate([x @ self.p[f"W{k}"] + self.p[f"c{k}"] for k in "fb"], axis=1)
+        h3 = 3 * HIDDEN
+        out = np.empty((len(x), 2 * h3), x.dtype)
+        for k, half in (("f", slice(0, h3)), ("b", slice(h3, 2 * h3))):
+            for lo in range(0, len(x), BLOCK):
+                out[lo : lo + BLOCK, half] = x[lo : lo + BLOCK] @ self.p[f"W{k}"] + self.p[f"c{k}"]
+        return out
 
     def _pass(self, gates: np.ndarray, mask: np.ndarray, k: str, keep: list | None = None) -> np.ndarray:
         """States [T, B, H] of one direction; gates [T, B, 3H] in reading order, likewise mask [T, B, 1]."""
@@ -207,8 +223,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 6, batch: int = 256, r
         net.shift = np.float32(1e3)
         return net
     number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for s in split for w in s])
+    ids = np.fromiter((number.setdefault(w, len(number)) for s in split for w in s), np.int32, sum(map(len, split)))
     word, gram, owner = features(list(number))
+    del number
     firsts = np.searchsorted(owner, np.arange(len(word) + 1))
     starts, lengths, text_of, at = [], [], [], 0
     by_text = []
@@ -240,6 +257,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 6, batch: int = 256, r
             out[lo : lo + 2000] = net.logits(table, ids[where], mask)
         return out
 
+    del split, by_text
     first = np.bincount(text_of)[: text_of[-1] + 1].cumsum() - np.bincount(text_of)
     inputs = net.inputs(word, gram, owner)[0][:, 0]
     score = np.array([inputs[ids[s : s + n]].max() for s, n in zip(starts.tolist(), lengths.tolist())])
