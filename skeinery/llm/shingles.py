@@ -1,0 +1,149 @@
+"""Near-dedup by the exact Jaccard similarity of word-shingle sets, with MinHash bands for the candidates.
+
+A fingerprint distance can't do this: at a similarity of 0.8 fingerprints of 64 bits differ in about 10 bits, which no
+byte-position index guarantees to find. Texts with the same words in the same order are one node. Candidates share one
+of 32 bands of 4 minima: a pair at 0.8 shares none with a probability of 5e-8, less above. Every candidate is verified
+on its shingle sets, so nothing below the threshold is linked.
+
+A list of over ``max_list`` nodes emits no pairs at first. Its nodes are compared with three leaders of the list; where
+that leaves the list in more than one component, its nodes are filed again, under 64 bands of 8 minima, and compared
+with all nodes of other components there (a pair at 0.8 shares none with a probability of 8e-6).
+
+Defined cases: null, empty or blank texts are one node; fewer words than a shingle: the whole sequence is the shingle; a
+null doc_id is ignored when the smallest is taken; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skeinery.llm import simhash
+from skeinery.llm._common import bounded_batches, materialise
+from skeinery.llm.graph import connected_components
+
+#: Bands and minima in each: for all texts, and for those in long lists.
+FIRST, SECOND = (32, 4), (64, 8)
+SEED = 42
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(simhash.shingle_hashes(text, words))
+
+
+def _node(text: str | None) -> int:
+    """Stands for the sequence of words."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
+
+
+def band_keys(hashes: np.ndarray, bands: int, minima: int) -> np.ndarray:
+    """A key for each band, none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    r = np.random.default_rng([SEED, bands, minima])
+    flip, odd = (r.integers(0, 1 << 64, bands * minima, np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    least = np.full(bands * minima, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        mixed = (hashes[None, at : at + (1 << 10)] ^ flip[:, None]) * odd[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    rows = np.column_stack([np.arange(bands, dtype=np.uint64), least.reshape(bands, minima)])
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in rows], np.uint64)
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_hash, node, n (its shingles) and keys for each row."""
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<node: bigint, n: bigint, keys: array<bigint>>")
+    def sign(texts: pa.Array) -> pa.Array:
+        nodes, sizes, keys = [], [], []
+        for t in texts:
+            own = shingle_set(t.as_py(), words)
+            nodes.append(_node(t.as_py()))
+            sizes.append(len(own))
+            keys.append(band_keys(own, *FIRST).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sign("text").alias("s")).select("doc_id", "text_hash", "s.*")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and shingles of ``nodes`` (node, at: doc_id and text_hash of a row)."""
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    at = nodes.select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"))
+    rows = docs.select("doc_id", "text").join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return materialise(rows.dropDuplicates(["node"]).select("node", cut("text").alias("shingles")), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("u", "v"))
+    both = pairs.join(b, "v").join(a, "u").withColumn("shared", F.size(F.array_intersect("of_u", "of_v")))
+    whole = F.size("of_u") + F.size("of_v") - F.col("shared")
+    return materialise(both.filter(F.col("shared") >= similarity * whole - 1e-9).select("u", "v"), "similar")
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+
+
+def links(docs: DataFrame, distinct: DataFrame, words: int = 5, similarity: float = 0.8, max_list: int = 16) -> DataFrame:
+    """(u, v) between the nodes of ``distinct`` (node, at, n, keys), enough to connect all whose similarity is at least that."""
+    sized = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
+    postings = materialise(distinct.select("node", "n", F.explode("keys").alias("key")), "band-postings")
+    leaders = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(3)]
+    lists = materialise(postings.groupBy("key").agg(F.count("*").alias("of"), F.array(*leaders).alias("leaders")).filter("of > 1"), "band-lists")
+    shared = materialise(postings.join(lists.select("key", "of"), "key"), "band-shared")
+    short = shared.filter(F.col("of") <= max_list)
+    a, b = (short.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in ("u", "v"))
+    pairs = a.join(b, "key").filter("u < v").filter(sized)
+    hot = shared.filter(F.col("of") > max_list)
+    led = hot.join(lists.filter(F.col("of") > max_list).select("key", "leaders"), "key").select(F.col("node").alias("v"), F.explode("leaders").alias("u"))
+    pairs = materialise(_ordered(pairs.select("u", "v").unionByName(led.distinct())), "band-pairs")
+    candidates = shared.select("node").distinct()
+    sets = _sets(docs, distinct.select("node", "at").join(candidates, "node"), words)
+    first = _verified(pairs, sets, similarity)
+
+    roots = materialise(connected_components(first), "band-roots")
+    rooted = hot.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "hot-rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    left = materialise(rooted.join(apart, "key").select("node", "n", "root").distinct(), "hot-left")
+    if left.isEmpty():
+        return first
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def again(shingles: pa.Array) -> pa.Array:
+        return pa.array([band_keys(np.sort(x.values.to_numpy().view(np.uint64)), *SECOND).view(np.int64) for x in shingles], pa.list_(pa.int64()))
+
+    filed = left.join(sets, "node").select("node", "n", "root", again("shingles").alias("keys"))
+    filed = materialise(filed.select("node", "n", "root", F.explode("keys").alias("key")), "hot-postings")
+    counts = materialise(filed.groupBy("key", "root").agg(F.count("*").alias("of")), "hot-counts")
+    main = materialise(counts.groupBy("key").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main"), "hot-lists")
+    open_lists = materialise(filed.join(main, "key"), "hot-open")
+    rest = open_lists.filter("root != main").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    others = open_lists.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+    more = rest.join(others, "key").filter("ru != rv").filter(sized).select("u", "v")
+    return first.unionByName(_verified(materialise(_ordered(more), "hot-pairs"), sets, similarity))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_list: int = 16) -> DataFrame:
+    """doc_id, text_hash, root (the component's smallest node) and component_id, its smallest doc_id."""
+    prints = materialise(_signed(docs.select("doc_id", "text"), words), "signed")
+    best = F.min(F.struct("doc_id", "text_hash")).alias("at")
+    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), best, F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    roots = materialise(connected_components(links(docs, distinct, words, similarity, max_list)), "set-roots")
+    rooted = materialise(distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "set-rooted")
+    smallest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "set-smallest")
+    members = materialise(rooted.join(smallest, "root").select("node", "root", "component_id"), "set-members")
+    return prints.select("doc_id", "text_hash", "node").join(members, "node").select("doc_id", "text_hash", "root", "component_id")

@@ -125,11 +125,11 @@ def hex_fingerprint(col):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each component: its smallest doc_id (of rows that repeat that, the first by a hash of the text)."""
+def representatives(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:
+    """One row of ``docs`` for each component that ``find`` gives: its smallest doc_id (of rows that repeat that, the first by a hash of the text)."""
     plain = list(docs.columns)
     own, own_hash, at = (spare(plain, x) for x in ("_own", "_text_hash", "_at"))
-    first = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = find(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = first.groupBy("root", "doc_id").agg(F.min("text_hash").alias(own_hash)).select(F.col("doc_id").alias(own), own_hash).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(own_hash)), "left_semi")
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
