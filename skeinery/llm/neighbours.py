@@ -165,7 +165,7 @@ def nearest(
     """query_id, rank (from 1), the neighbour's id under its own name, score: for each row where ``is_query`` (a function of the id column) holds."""
     rows = valid(vectors, id_column, vector_column)
     if dims is None:
-        first = rows.select(F.size("v").alias("n")).first()
+        first = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
         dims = first.n if first else 0
     rows = rows.filter(F.size("v") == dims).withColumn("q", is_query(F.col("id")))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()

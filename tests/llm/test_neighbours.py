@@ -51,3 +51,12 @@ def test_odd_vectors_and_ties(spark):
     few = spark.createDataFrame(rows[:2] + [(7, [1.0, 1.0])], table.schema)
     assert [i for i, _ in found(nn.nearest(few, lambda i: i % 50 == 0))[0]] == [7]
     assert nn.nearest(table.filter("false"), lambda i: i % 50 == 0).count() == 0
+
+
+def test_the_most_frequent_width_is_taken(spark):
+    rng = np.random.default_rng(8)
+    rows = [(900, [1.0, 2.0]), *((i, rng.standard_normal(4).tolist()) for i in range(60)), (901, [1.0, 2.0, 3.0])]
+    got = found(nn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), lambda i: i % 50 == 0))
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in brute(rows[1:-1]).items()}
+    even = rows[:1] + rows[1:2] + [(50, [2.0, 1.0]), (2, [0.0, 1.0, 1.0, 0.0])]
+    assert {q: [i for i, _ in x] for q, x in found(nn.nearest(spark.createDataFrame(even, "vec_id long, embedding array<double>"), lambda i: i >= 50)).items()} == {50: [900], 900: [50]}
