@@ -1,9 +1,9 @@
 """WARC archives as chunked record tables.
 
 A page's payload is cut into (record, chunk number, bytes) rows before it reaches a writer, and a reader hands out
-the same rows again, each with the SHA-1 of the payload up to and with that chunk. Neither side holds more than one
-chunk of a record. Records whose payload was seen before (same length and SHA-1) become revisits of the one with the
-smallest page_id.
+the same rows again, each with the SHA-1 of the payload up to and with that chunk. A reader holds no more than one
+chunk of a record; whole payloads are hashed and carried through the revisit join before they are cut. Records whose
+payload was seen before (same length and SHA-1) become revisits of the one with the smallest page_id.
 
 Archives are gzip files with a member for each record, written straight to the shared folder through pyarrow's file
 systems under names no other attempt uses; the manifest, a table that Spark commits, names the files that count, so a
