@@ -85,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_MARK = re.compile(r"[0-9@][^\s]*|[\[(](?:at|dot|AT|DOT)[\])]")
+_MARK = re.compile(r"[0-9@][^\s]*|[\[(](?:at|dot)[\])]", re.I)
 _BLANK = re.compile(r"\s")
 _SPELLED = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
 _TRIM_LEFT, _TRIM_RIGHT = "\"'<[{,;:=", "\"'>]},;:!?."

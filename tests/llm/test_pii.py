@@ -69,3 +69,8 @@ def test_query_rows(spark):
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, base string")).collect()
     assert [len(r[3]) for r in got] == [0, 0, 2, 2, 0] and got[0].asDict()["base"] == "x"
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_spelled_marks_in_any_case_are_offered():
+    for text in ("jane [at] mail [dot] com", "jane [At] mail [Dot] com", "jane (aT) mail (dOT) com"):
+        assert pii.regions(text) == pii.regions("jane [at] mail [dot] com") != []
