@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows that go to a Python worker at once; with whole texts as rows this bounds a worker's memory.
 BATCH_ROWS = 256
 #: Bytes that go to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Stands for a null id where ids are join keys or are ordered: below every other id.
 NULL_ID = -(2**63)
 
@@ -22,20 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds, by rows and by bytes."""
+    """Bound what a Python worker holds, by rows and by bytes. Spark reads these two settings when the result is run, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in local mode alone, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("skeinery.scratch.dir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="skeinery-")
-            spark.conf.set("skeinery.scratch.dir", folder)
-            atexit.register(_delete_local, folder[7:])
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="skeinery-")
+        spark.conf.set("skeinery.scratch.dir", folder)
+        atexit.register(_delete_local, folder[7:])
     return folder.rstrip("/")
 
 
@@ -46,7 +50,8 @@ def _delete_local(path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/skeinery/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under the application's id, so that one delete clears what an application has left."""
+    return f"{shared_dir(spark)}/skeinery/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -56,10 +61,32 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes within are deleted at the end, but for those written with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def in_scope(path: str, keep: bool = False) -> None:
+    """Have the present scope (with ``keep`` the one around it) delete ``path``; without a scope it stays for whoever reads the result."""
+    at = len(_scopes) - 1 - keep
+    if at >= 0:
+        _scopes[at].append(path)
+
+
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    in_scope(path, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,18 +1,20 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 Fingerprints are reduced to distinct values first, so exact copies are one entry. Two fingerprints of 8 bytes that
-differ in at most 2 bits share at least 6 bytes at equal positions, hence at least 2 of the 4 position blocks of two
-bytes each: the inverted index is kept by (two blocks, their bytes), six postings for a fingerprint. Within a posting
-list the shared positional bytes of each pair are tallied, pairs with the guaranteed 6 are retained and verified by
-their differing bits.
+differ in at most 2 bits differ in at most 2 bytes, so of the 4 position blocks of two bytes each at least 2 are equal,
+and of the other 4 positions at least 2. The index is kept in two steps: a fingerprint is filed under each pair of blocks
+with their bytes (6 lists), and within a list of more than one it has a posting for each other position with its byte.
+Postings that a pair shares are tallied, pairs with the guaranteed 2 (6 positions with the list's own 4) are retained and
+verified by their differing bits.
 
 A list of over ``max_list`` fingerprints emits no pairs. Its fingerprints go another, exact way: each is filed under
 itself and its 64 neighbours at one bit; two fingerprints meet at some point if and only if they differ in at most 2
-bits, and at most 65 can meet at one point.
+bits, and at most 65 can meet at one point. That is a choice for speed alone, both ways find the same components.
 
 Defined cases: null, empty or blank texts have fingerprint 0 and are linked like any other; fewer words than a
-shingle: the whole sequence is the shingle; repeated rows share a fingerprint and a component; a null doc_id is
-ignored when the smallest is taken (a component of null ids alone has a null id); an empty table gives an empty table.
+shingle: the whole sequence is the shingle; a text of any length is hashed in blocks; repeated rows share a fingerprint
+and a component; a null doc_id is ignored when the smallest is taken (a component of null ids alone has a null id); an
+empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinery.llm._common import bounded_batches, materialise, spare
+from skeinery.llm._common import bounded_batches, materialise, scratch_scope, spare
 from skeinery.llm.graph import connected_components
 
 SEED = 42
-#: Of a doc_id's links, what the index guarantees: 6 of 8 bytes for 2 bits.
+#: Rows whose bits are counted at once: what a counter of one byte holds.
+BLOCK = 255
+#: Bits that linked fingerprints may differ in, hence bytes at most.
 BITS = 2
 BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
 
@@ -50,15 +54,19 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n)
 
 
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of at most ``BLOCK`` rows of bytes have each bit set: eight counters of a byte are added at once as a long."""
+    return np.unpackbits(rows, axis=1, bitorder="little").view(np.uint64).sum(axis=0).view(np.uint8)
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The unsigned fingerprint: a bit is 1 if it is set in over half of the hashes."""
     hashes = shingle_hashes(text, words)
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+    for at in range(0, len(hashes), BLOCK):
+        ones += bit_counts(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8))
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
@@ -74,34 +82,33 @@ def fingerprints(docs: DataFrame, words: int = 3, column: str = "fp") -> DataFra
     return docs.withColumn(column, fp(F.col("text")))
 
 
-def _byte(col, i: int):
-    return F.shiftrightunsigned(col, 8 * i).bitwiseAND(F.lit(0xFF))
+def _mask(positions) -> F.Column:
+    mask = sum(0xFF << (8 * i) for i in positions)
+    return F.lit(mask - ((mask >> 63) << 64))
 
 
-def shared_bytes(a, b):
-    """The tally: how many of the 8 positions hold equal bytes."""
-    differ = a.bitwiseXOR(b)
-    total = F.lit(0)
-    for i in range(8):
-        total = total + (_byte(differ, i) == 0).cast("int")
-    return total
+def tallied(filed: DataFrame) -> DataFrame:
+    """(u, v): pairs within a list of ``filed`` (k, bytes, fp) whose shared postings reach the guaranteed number."""
+    fp = F.col("fp")
+    other = F.array(*[F.array(*[F.lit(i) for b in BLOCKS if b not in pair for i in b]) for pair in combinations(BLOCKS, 2)])
+    postings = filed.select("k", "bytes", "fp", F.explode(F.get(other, F.col("k"))).alias("position"))
+    postings = postings.withColumn("byte", F.expr("shiftrightunsigned(fp, 8 * position)").bitwiseAND(F.lit(0xFF)))
+    postings = materialise(postings.withColumn("fp", fp), "byte-postings")
+    at = ["k", "bytes", "position", "byte"]
+    both = postings.withColumnRenamed("fp", "u").join(postings.withColumnRenamed("fp", "v"), at).filter("u < v")
+    tally = both.groupBy("k", "bytes", "u", "v").agg(F.count("*").alias("shared"))
+    return tally.filter(F.col("shared") >= 4 - BITS).select("u", "v").distinct()
 
 
 def links(distinct: DataFrame, max_list: int = 64) -> DataFrame:
     """(u, v) between the distinct fingerprints of ``distinct`` (fp) that differ in at most 2 bits, enough to connect all that do."""
-    fp = F.col("fp")
-    keys = []
-    for k, (p, q) in enumerate(combinations(BLOCKS, 2)):
-        mask = sum(0xFF << (8 * i) for i in (*p, *q))
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(mask)).alias("bytes")))
-    postings = materialise(distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.bytes"), "postings")
-    lists = materialise(postings.groupBy("k", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-    short = postings.join(lists.filter(F.col("n") <= max_list), ["k", "bytes"])
-    a, b = short.select("k", "bytes", F.col("fp").alias("u")), short.select("k", "bytes", F.col("fp").alias("v"))
-    u, v = F.col("u"), F.col("v")
-    pairs = a.join(b, ["k", "bytes"]).filter(u < v).filter(shared_bytes(u, v) >= 8 - BITS).filter(F.bit_count(u.bitwiseXOR(v)) <= BITS).select("u", "v")
-    hot = postings.join(lists.filter(F.col("n") > max_list), ["k", "bytes"]).select("fp").distinct()
+    fp, u, v = F.col("fp"), F.col("u"), F.col("v")
+    keys = [F.struct(F.lit(k).alias("k"), fp.bitwiseAND(_mask((*p, *q))).alias("bytes")) for k, (p, q) in enumerate(combinations(BLOCKS, 2))]
+    filed = materialise(distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.bytes"), "filed")
+    lists = materialise(filed.groupBy("k", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+    pairs = tallied(filed.join(lists.filter(F.col("n") <= max_list).select("k", "bytes"), ["k", "bytes"]))
+    pairs = pairs.filter(F.bit_count(u.bitwiseXOR(v)) <= BITS)
+    hot = filed.join(lists.filter(F.col("n") > max_list), ["k", "bytes"]).select("fp").distinct()
     flips = [fp] + [fp.bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)]
     points = hot.select("fp", F.explode(F.array(*flips)).alias("point"))
     met = points.groupBy("point").agg(F.collect_list("fp").alias("at")).filter(F.size("at") > 1)  # 65 at most
@@ -113,14 +120,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_list: int = 64) -> Data
     """doc_id, text_hash, fp (signed long), root (the component's smallest fingerprint) and component_id, its smallest doc_id."""
     prints = fingerprints(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp")
     prints = materialise(prints, "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    roots = materialise(connected_components(links(distinct.select("fp"), max_list)).withColumnRenamed("node", "fp"), "roots")
-    rooted = materialise(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    smallest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    members = materialise(rooted.join(smallest, "root").select("fp", "root", "component_id"), "members")
+    with scratch_scope(docs.sparkSession):
+        distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+        members = with_components(distinct, links(distinct.select("fp"), max_list), "fp")
+    # Both sides are written tables, so AQE splits a fingerprint that a third of the rows share.
     return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
+def with_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """A written table of ``node``, root and component_id (the least ``first``) for each row of ``nodes`` (node, first, ...)."""
+    roots = connected_components(edges).withColumnRenamed("node", node)
+    rooted = materialise(nodes.select(node, "first").join(roots, node, "left").withColumn("root", F.coalesce("root", node)), "rooted")
+    smallest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    return materialise(rooted.join(smallest, "root").select(node, "root", "component_id"), "members", keep=True)
+
+
 def hex_fingerprint(col):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 

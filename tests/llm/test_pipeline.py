@@ -6,7 +6,7 @@ from skeinery.llm._common import materialise
 
 from .test_line_dedup import brute as lines_brute
 from .test_packing import PATH, check
-from .test_simhash import components, plain, signed
+from .test_simhash_wide import kept_by_brute_force
 
 
 def test_stages_one_by_one(spark, sf):
@@ -24,11 +24,7 @@ def test_stages_one_by_one(spark, sf):
     assert sorted((r.doc_id, r.text) for r in after) == sorted((d, t) for d, _, _, t in lines_brute([(r.doc_id, r.text) for r in before], 40, 5))
     assert all(r.n_chars == len(r.text) for r in after)
     before, after = kept["simhash_near_dedup"]
-    fps = {r.doc_id: signed(plain(r.text)) for r in before}
-    roots, first = components(fps.values()), {}
-    for d in sorted(fps):
-        first.setdefault(roots[fps[d]], d)
-    assert sorted(r.doc_id for r in after) == sorted(first.values())
+    assert sorted(r.doc_id for r in after) == kept_by_brute_force([(r.doc_id, r.text) for r in before])
     before, after = kept["mixing"]
     again = mixing.mixed(spark.createDataFrame(before, docs.schema))
     assert sorted(map(tuple, after)) == sorted(map(tuple, again.collect())) and {r.doc_id for r in after} <= {r.doc_id for r in before}
