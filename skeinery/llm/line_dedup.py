@@ -1,26 +1,33 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of line hashes, dealt by hash and sorted: (h1, h2, n, keeper, born) with the number of
-documents that hold the line, the largest of their ids, and whether the run was the first to see it. A new batch is
-reduced to one row a line, merge-anti-joined with the runs for the lines not seen before, merge-semi-joined for the
-others, and adds both as a run of level 0. When a level has ``fanout`` runs they are compacted into one of the next
-level. Nothing is collected, no line's documents ever meet in one task: counts are pre-aggregated, and the join of
-lines with repeated keys is between two written tables, so AQE splits a hot key.
+A run is a table of line hashes, bucketed by hash and sorted: (h1, h2, n, keeper) with the number of documents that hold
+the line and the largest of their ids, as the batch that saw it first had them. A new batch is reduced to one row a line
+and merge-anti-joined with every run: the lines that none of them has are a run of level 0, so a line is in exactly one
+run. The others' numbers go to tables of additions, which only ``totals`` reads, beside the runs. Two runs of one level
+are compacted into one of the next by a merge join, additions likewise. Runs, batches and additions have the same buckets in the same order, so
+no join above them shuffles or sorts. Nothing is collected, no line's documents ever meet in one task: counts are
+pre-aggregated, and the join of lines with repeated keys is between two written tables, so AQE splits a hot key.
 
 Defined cases: null text is one empty line; short keys are never dropped; equal lines within one document count once
 and go or stay together; a null doc_id is one document, ordered below all others; rows that repeat a doc_id are one
-document for counting, each is edited by itself; an empty table gives an empty table; other columns pass through.
+document for counting, each is edited by itself; texts and lines of any length are taken whole; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm._common import NULL_ID, ascii_lower, materialise, remove, scratch_path, spare
+from skeinery.llm._common import NULL_ID, ascii_lower, in_scope, materialise, remove, scratch_path, scratch_scope, spare
 
 BLANKS = " \t\n\x0b\x0c\r"
-RUN = "h1 long, h2 long, n long, keeper long, born boolean"
+KEY = ["h1", "h2"]
+RUN = "h1 long, h2 long, n long, keeper long"
 
 
 def line_key(line: Column) -> Column:
@@ -39,56 +46,93 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.filter(F.length("key") >= min_chars).select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables give their rows in the order they were written in."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class LineRuns:
-    """The levelled runs. Batches can be added at any time; a document's lines belong in one batch."""
+    """The levelled runs. Batches can be added at any time; a document's lines belong in one batch. ``close`` deletes all."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.additions: list[list[str]] = []
+        self._paths: dict[str, str] = {}
+
+    def _write(self, rows: DataFrame) -> str:
+        """A bucketed, sorted table of ``rows``, which must lie in their buckets' partitions."""
+        name = f"skeinery_lines_{uuid.uuid4().hex}"
+        self._paths[name] = scratch_path(self.spark, "line-run")
+        with sorted_buckets(self.spark):
+            rows.select(*KEY, "n", "keeper").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self._paths[name]).saveAsTable(name)
+        return name
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self._paths.pop(name))
 
     def read(self) -> DataFrame:
-        """All rows of all runs."""
-        paths = self.paths()
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"line-run-{level}")
-        rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            self._compact(level)
-
-    def _compact(self, level: int) -> None:
-        old, self.levels[level] = self.levels[level], []
-        rows = self.spark.read.schema(RUN).parquet(*old)
-        rows = rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.max("born").alias("born"))
-        self._write(rows, level + 1)
-        for path in old:
-            remove(self.spark, path)
+        """All rows of all runs: a row for each line seen."""
+        return reduce(DataFrame.unionByName, map(self.spark.table, sum(self.levels, [])), self.spark.createDataFrame([], RUN))
+
+    def _place(self, levels: list[list[str]], name: str, level: int = 0) -> None:
+        """Put a table into a level; the level's second one is merged with its first into one of the next level."""
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(name)
+        if len(levels[level]) > 1:
+            old, levels[level] = levels[level], []
+            a, b = (self.spark.table(x) for x in old)
+            both = a.hint("merge").join(b.select(*KEY, F.col("n").alias("m"), F.col("keeper").alias("other")), KEY, "full")
+            both = both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keeper", "other").alias("keeper"))
+            self._place(levels, self._write(both), level + 1)
+            for x in old:
+                self._drop(x)
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of hashed lines."""
-        batch = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
-        if not self.paths():
-            self._write(batch.withColumn("born", F.lit(True)), 0)
+        batch = lines.groupBy(*KEY).agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).repartition(self.buckets, *KEY)
+        batch = self._write(batch)
+        fresh = self.spark.table(batch)
+        for run in (name for level in self.levels for name in level):
+            fresh = fresh.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        if not any(self.levels):
+            self._place(self.levels, batch)
             return
-        batch = materialise(batch, "line-batch")
-        seen = self.read().select("h1", "h2").hint("merge")
-        fresh = batch.join(seen, ["h1", "h2"], "left_anti").withColumn("born", F.lit(True))
-        again = batch.join(seen, ["h1", "h2"], "left_semi").withColumn("born", F.lit(False))
-        self._write(fresh.unionByName(again), 0)
+        fresh = self._write(fresh)
+        again = self.spark.table(batch).join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti")
+        self._place(self.additions, self._write(again))
+        self._drop(batch)
+        self._place(self.levels, fresh)
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n, keeper) over all batches."""
-        return self.read().groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+        """(h1, h2, n, keeper) over all batches: what the runs have, and what was added to it since."""
+        parts = []
+        for run in sum(self.levels, []):
+            part = self.spark.table(run)
+            for name in sum(self.additions, []):
+                more = self.spark.table(name).select(*KEY, F.col("n").alias("more"), F.col("keeper").alias("later"))
+                part = part.join(more.hint("merge"), KEY, "left")
+                part = part.select(*KEY, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("keeper", "later").alias("keeper"))
+            parts.append(part)
+        return reduce(DataFrame.unionByName, parts) if parts else self.read()
+
+    def close(self) -> None:
+        for name in list(self._paths):
+            self._drop(name)
+        self.levels, self.additions = [], []
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept_text, n_lines and n_dropped.
 
     Keys of at least ``min_chars`` in at least ``min_docs`` documents stay in the largest doc_id alone. kept_text is null
@@ -96,25 +140,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     spark, plain = docs.sparkSession, list(docs.columns)
     kept, n_lines, n_dropped, own, own_hash, gone, lines = (spare(plain, x) for x in ("kept_text", "n_lines", "n_dropped", "_doc", "_text_hash", "_gone", "_lines"))
-    batch = F.pmod(F.xxhash64(F.lit("batch"), "doc"), F.lit(batches)).cast("int")
-    path = scratch_path(spark, "line-hashes")
-    hashed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    hashed = spark.read.schema("doc long, text_hash long, pos int, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(hashed.filter(F.col("batch") == b))
-    repeated = materialise(runs.totals().filter(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "line-repeated")
-    dropped = (
-        hashed.join(repeated, ["h1", "h2"])
-        .filter(F.col("doc") != F.col("keeper"))
-        .groupBy(F.col("doc").alias(own), F.col("text_hash").alias(own_hash))
-        .agg(F.collect_set("pos").alias(gone))
-    )
-    split = docs.withColumns(
-        {own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), own_hash: F.xxhash64("text"), lines: F.split(F.coalesce("text", F.lit("")), "\n", -1)}
-    )
-    joined = split.join(dropped, [own, own_hash], "left")
-    # array_except is linear; the lines come out of the join as a stored array, so taking one by its number costs nothing.
+    with scratch_scope(spark):
+        batch = F.pmod(F.xxhash64(F.lit("batch"), "doc"), F.lit(batches)).cast("int")
+        in_scope(path := scratch_path(spark, "line-hashes"))
+        hashed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
+        hashed = spark.read.schema("doc long, text_hash long, pos int, h1 long, h2 long, batch int").parquet(path)
+        runs = LineRuns(spark)
+        try:
+            for b in range(batches):
+                runs.add(hashed.filter(F.col("batch") == b))
+            with sorted_buckets(spark):
+                repeated = materialise(runs.totals().filter(F.col("n") >= min_docs).select(*KEY, F.col("keeper").alias("stays")), "line-repeated")
+        finally:
+            runs.close()
+        dropped = (
+            hashed.join(repeated, KEY)
+            .filter(F.col("doc") != F.col("stays"))
+            .groupBy(F.col("doc").alias(own), F.col("text_hash").alias(own_hash))
+            .agg(F.collect_set("pos").alias(gone))
+        )
+        dropped = materialise(dropped, "line-dropped", keep=True)
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), own_hash: F.xxhash64("text")})
+    # The lines are a column of their own that is used twice, so they are split once, after the texts have moved.
+    joined = keyed.join(dropped, [own, own_hash], "left").withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    # array_except is linear, and taking a line of a stored array by its number costs nothing.
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(F.col(lines), i))
     return joined.select(
         *[F.col(f"`{c}`") for c in plain],
