@@ -109,3 +109,48 @@ def ascii_lower(col: Column) -> Column:
     """A-Z to a-z, nothing else: texts of ASCII alone take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
+
+
+class Buckets:
+    """Bucketed, sorted tables in the shared folder: joins and groups on the keys neither shuffle nor sort them. All go at the end."""
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark, self.n = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._paths: dict[str, str] = {}
+
+    def save(self, rows: DataFrame, keys: list[str]) -> str:
+        """The name of a table of ``rows``, which lie in their buckets' partitions."""
+        name = f"skeinery_{uuid.uuid4().hex}"
+        self._paths[name] = scratch_path(self.spark, "buckets")
+        with in_written_order(self.spark):
+            rows.write.bucketBy(self.n, *keys).sortBy(*keys).option("path", self._paths[name]).saveAsTable(name)
+        return name
+
+    def write(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        return self.spark.table(self.save(rows.repartition(self.n, *keys), keys))
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self._paths.pop(name))
+
+    def close(self) -> None:
+        for name in list(self._paths):
+            self.drop(name)
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+@contextmanager
+def in_written_order(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables give their rows in the order they were written in."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -15,15 +15,12 @@ document for counting, each is edited by itself; texts and lines of any length a
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm._common import NULL_ID, ascii_lower, in_scope, materialise, remove, scratch_path, scratch_scope, spare
+from skeinery.llm._common import NULL_ID, Buckets, ascii_lower, in_scope, in_written_order, materialise, scratch_path, scratch_scope, spare
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -46,39 +43,16 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.filter(F.length("key") >= min_chars).select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-@contextmanager
-def sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Scans of bucketed tables give their rows in the order they were written in."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 class LineRuns:
     """The levelled runs. Batches can be added at any time; a document's lines belong in one batch. ``close`` deletes all."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.tables = spark, Buckets(spark, buckets)
         self.levels: list[list[str]] = []
         self.additions: list[list[str]] = []
-        self._paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
-        """A bucketed, sorted table of ``rows``, which must lie in their buckets' partitions."""
-        name = f"skeinery_lines_{uuid.uuid4().hex}"
-        self._paths[name] = scratch_path(self.spark, "line-run")
-        with sorted_buckets(self.spark):
-            rows.select(*KEY, "n", "keeper").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self._paths[name]).saveAsTable(name)
-        return name
-
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        remove(self.spark, self._paths.pop(name))
+        return self.tables.save(rows.select(*KEY, "n", "keeper"), KEY)
 
     def read(self) -> DataFrame:
         """All rows of all runs: a row for each line seen."""
@@ -96,11 +70,11 @@ class LineRuns:
             both = both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keeper", "other").alias("keeper"))
             self._place(levels, self._write(both), level + 1)
             for x in old:
-                self._drop(x)
+                self.tables.drop(x)
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of hashed lines."""
-        batch = lines.groupBy(*KEY).agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).repartition(self.buckets, *KEY)
+        batch = lines.groupBy(*KEY).agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).repartition(self.tables.n, *KEY)
         batch = self._write(batch)
         fresh = self.spark.table(batch)
         for run in (name for level in self.levels for name in level):
@@ -111,7 +85,7 @@ class LineRuns:
         fresh = self._write(fresh)
         again = self.spark.table(batch).join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti")
         self._place(self.additions, self._write(again))
-        self._drop(batch)
+        self.tables.drop(batch)
         self._place(self.levels, fresh)
 
     def totals(self) -> DataFrame:
@@ -127,8 +101,7 @@ class LineRuns:
         return reduce(DataFrame.unionByName, parts) if parts else self.read()
 
     def close(self) -> None:
-        for name in list(self._paths):
-            self._drop(name)
+        self.tables.close()
         self.levels, self.additions = [], []
 
 
@@ -149,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         try:
             for b in range(batches):
                 runs.add(hashed.filter(F.col("batch") == b))
-            with sorted_buckets(spark):
+            with in_written_order(spark):
                 repeated = materialise(runs.totals().filter(F.col("n") >= min_docs).select(*KEY, F.col("keeper").alias("stays")), "line-repeated")
         finally:
             runs.close()

@@ -2,19 +2,23 @@
 
 Vectors are scaled to length 1, where the largest cosine is the smallest distance, and projected on a few Gaussian
 (2-stable) directions: the projected squared distance over the true one follows a chi-square law with as many degrees
-of freedom. Every block of rows gets a kd-tree over its projections. A query reads the tree in order of projected
-distance, leaf by leaf, verifying each neighbour on its original vector, and stops when the chi-square test says that
-a vector nearer than the k-th verified one would by now have been met with the wanted probability.
+of freedom. The upper levels of one kd-tree over the projections are fitted on a bounded sample of distinct vectors (at
+most ``SAMPLE``, those with the smallest hashes); they deal every row to one cell, and a cell's rows get the lower levels
+where they lie. A query reads its own cell first, leaf by leaf in order of projected distance, verifying each neighbour on
+its original vector, until the chi-square test says that a vector nearer than the k-th verified one would by now have been
+met with the wanted probability. Then it goes on to every other cell that the same test leaves open, and to no other.
 
-Blocks: rows are dealt to blocks by a hash of their id, every row is in exactly one; the queries are dealt likewise
-into blocks of their own. Each pair of a query block and a row block is one group of a bounded number of rows, which
-leaves k rows for a query; those are merged by a window of k times the number of row blocks. Nothing is broadcast.
-Equal vectors are kept once within a block with the k + 1 smallest ids, which is all that the answer can hold.
+A row lies in one cell and is sent nowhere else; a query goes to the cells within its reach. Cells have about
+``CELL_ROWS`` rows while there are at most ``MAX_CELLS``; beyond that they are dealt into blocks of that size by a hash, and
+a query reads all blocks of a cell, so that a task holds a bounded number of rows. Broadcast are the splits, whose number is
+bounded. Equal vectors are kept once with the k + 1 smallest ids, which is all that the answer can hold.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do rows with a
-null id or another number of components than most (given as ``dims``, else the first valid row's); repeated rows are
+null id or another number of components than most (given as ``dims``, else the most frequent one, of equals the smaller);
+components of any finite size are taken, vectors are scaled by a power of two first; repeated rows are
 candidates of their own, but all rows with the query's id are the query's own; fewer candidates give fewer rows; ties
-go to the smaller id; an empty table gives an empty table; other columns don't matter.
+go to the smaller id; an empty table gives an empty table; other columns don't matter, and an id column may have any name
+but those of the result.
 """
 
 from __future__ import annotations
@@ -26,14 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinery.llm._common import materialise
+from skeinery.llm._common import Buckets, bounded_batches, materialise, scratch_scope
 
 PROJECTIONS = 10
 #: The chance with which a nearer neighbour should have been met before a query stops.
 CONFIDENCE = 0.97
 LEAF = 48
-#: Rows in a block, about, and queries in one.
-BLOCK, QUERY_BLOCK = 20_000, 2_000
+#: Rows in a cell, about; cells at most; vectors that the cells are fitted on at most.
+CELL_ROWS, MAX_CELLS, SAMPLE = 4096, 1024, 20_000
+SEED = 11
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -90,33 +95,94 @@ class Tree:
         return (gap * gap).sum(axis=1)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """In double precision, each times a power of two that brings its largest component to below 1: nothing is rounded, and no square leaves a double's range."""
+    vectors = vectors.astype(np.float64)
+    _, power = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    return np.ldexp(vectors, -power[:, None])
+
+
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
+def directions(dims: int, projections: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((dims, projections))
+
+
+def projected(vectors: np.ndarray, projections: int = PROJECTIONS) -> np.ndarray:
+    """The projections of scaled vectors at length 1."""
+    return (vectors / lengths(vectors)[:, None]) @ directions(vectors.shape[1], projections)
+
+
+class Cells:
+    """The upper levels of the tree: halves at the median of the widest axis, the fullest cell first, and each cell's box."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        d = points.shape[1]
+        self.axis, self.cut, self.child = [], [], []  # of the inner nodes; a child below zero is cell -child - 1
+        self.low, self.high = [np.full(d, -np.inf)], [np.full(d, np.inf)]
+        parent: list[tuple[int, int] | None] = [None]
+        own = [np.arange(len(points))]
+        while len(own) < cells:
+            c = max(range(len(own)), key=lambda i: len(own[i]))
+            spread = np.ptp(points[own[c]], axis=0) if len(own[c]) else np.zeros(1)
+            axis = int(spread.argmax())
+            if len(own[c]) < 2 or spread[axis] == 0:
+                break
+            values = points[own[c], axis]
+            cut = float(np.median(values))
+            if not (values < cut).any():
+                cut = float(values[values > cut].min())
+            node, new = len(self.axis), len(own)
+            self.axis.append(axis)
+            self.cut.append(cut)
+            self.child.append([-c - 1, -new - 1])
+            if parent[c]:
+                self.child[parent[c][0]][parent[c][1]] = node
+            self.low.append(self.low[c].copy())
+            self.high.append(self.high[c].copy())
+            self.high[c][axis] = self.low[new][axis] = cut
+            parent[c] = (node, 0)
+            parent.append((node, 1))
+            own[c], right = own[c][values < cut], own[c][values >= cut]
+            own.append(right)
+        self.axis, self.cut = np.array(self.axis, np.int64), np.array(self.cut)
+        self.child, self.low, self.high = np.array(self.child, np.int64).reshape(-1, 2), np.array(self.low), np.array(self.high)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell that each point lies in."""
+        at = np.zeros(len(points), np.int64)
+        if not len(self.axis):
+            return at
+        open_ = np.arange(len(points))
+        while len(open_):
+            node = at[open_]
+            at[open_] = self.child[node, (points[open_, self.axis[node]] >= self.cut[node]).astype(np.int64)]
+            open_ = open_[at[open_] >= 0]
+        return -at - 1
+
+    def within(self, point: np.ndarray, reach: float) -> np.ndarray:
+        """The cells whose boxes are at most a squared distance of ``reach`` away."""
+        gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
+        return np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+
+
 class Index:
-    """One block: distinct vectors, their ids, projections and tree."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = PROJECTIONS, seed: int = 11):
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-        _, first, group = np.unique(vectors.view(np.uint8).reshape(len(vectors), -1), axis=0, return_index=True, return_inverse=True)
-        group = group.ravel()
-        self.members: list[list[int]] = [[] for _ in first]
-        for g, i in zip(group.tolist(), ids.tolist()):  # smallest ids first
-            if len(self.members[g]) <= k:
-                self.members[g].append(i)
-        self.k, self.vectors = k, vectors[first].astype(np.float64)
-        # Scaled first, so that neither huge nor tiny components leave the range of a double.
-        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        self.directions = np.random.default_rng(seed).standard_normal((self.vectors.shape[1], projections))
-        self.points = (self.vectors / self.norms[:, None]) @ self.directions
-        self.tree = Tree(self.points)
+    """The lower levels: one block of distinct vectors, the (id, number of rows) that have them, projections and tree."""
+
+    def __init__(self, vectors: np.ndarray, members: list, k: int, projections: int = PROJECTIONS):
+        self.k, self.vectors, self.norms, self.points = k, vectors, lengths(vectors), projected(vectors, projections)
+        self.directions, self.tree = directions(vectors.shape[1], projections), Tree(self.points)
         # In the tree's order, so that a leaf is a slice.
         order = self.tree.order
-        self.members = [self.members[i] for i in order.tolist()]
+        self.members = [members[i] for i in order.tolist()]
         self.points, self.vectors, self.norms = self.points[order], self.vectors[order], self.norms[order]
 
-    def search(self, query_id: int, query: np.ndarray, limit: float) -> list[tuple[float, int]]:
-        """The k nearest found as (cosine, id); ``limit`` is the chi-square quantile that ends the search."""
-        k, query = self.k, query.astype(np.float64)
-        norm = math.sqrt(float((query * query).sum()))
+    def search(self, query_id: int, query: np.ndarray, limit: float, known: float = -math.inf) -> list[tuple[float, int]]:
+        """The k nearest found as (cosine, id); ``limit`` is the chi-square quantile that ends the search, ``known`` the k-th cosine found elsewhere."""
+        k = self.k
+        norm = float(lengths(query[None])[0])
         at = (query / norm) @ self.directions
         bound = self.tree.distances(at)
         # Incremental: leaves by their least projected distance, until the next is too far; the further, the more at a
@@ -124,7 +190,8 @@ class Index:
         best: list[tuple[float, int]] = []
         order, step, done = np.argsort(bound, kind="stable"), 4, 0
         while done < len(order):
-            reach = limit * max(0.0, 2 - 2 * best[k - 1][0]) if len(best) >= k else math.inf
+            kth = max(known, best[k - 1][0] if len(best) >= k else -math.inf)
+            reach = limit * max(0.0, 2 - 2 * kth)
             if bound[order[done]] > reach:
                 break
             rows = np.concatenate([np.arange(*self.tree.leaves[i]) for i in order[done : done + step]])
@@ -132,13 +199,12 @@ class Index:
             gap = self.points[rows] - at
             rows = rows[(gap * gap).sum(axis=1) <= reach]
             got = cosine(self.vectors[rows], self.norms[rows], query, norm)
-            if len(best) >= k:
-                near = got >= best[k - 1][0]
-                rows, got = rows[near], got[near]
+            near = got >= kth
+            rows, got = rows[near], got[near]
             if len(rows) > 4 * k:
                 cut = np.partition(got, len(got) - 2 * k)[len(got) - 2 * k]
                 rows, got = rows[got >= cut], got[got >= cut]
-            found = [(float(c), i) for c, row in zip(got.tolist(), rows.tolist()) for i in self.members[row] if i != query_id]
+            found = [(float(c), i) for c, row in zip(got.tolist(), rows.tolist()) for i, n in self.members[row] if i != query_id for _ in range(n)]
             best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
@@ -150,6 +216,17 @@ def valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids): each vector once, with the k + 1 smallest ids that have it and how many rows each (k at most)."""
+    counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    first = counted.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("at") <= k + 1)
+    return first.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
+
+
+def _matrix(column) -> np.ndarray:
+    return scaled(np.array([np.asarray(v) for v in column]))
+
+
 def nearest(
     vectors: DataFrame,
     is_query,
@@ -157,42 +234,73 @@ def nearest(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     dims: int | None = None,
-    block: int = BLOCK,
-    query_block: int = QUERY_BLOCK,
+    cell_rows: int = CELL_ROWS,
+    max_cells: int = MAX_CELLS,
     confidence: float = CONFIDENCE,
     projections: int = PROJECTIONS,
 ) -> DataFrame:
     """query_id, rank (from 1), the neighbour's id under its own name, score: for each row where ``is_query`` (a function of the id column) holds."""
-    rows = valid(vectors, id_column, vector_column)
-    if dims is None:
-        first = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dims = first.n if first else 0
-    rows = rows.filter(F.size("v") == dims).withColumn("q", is_query(F.col("id")))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / query_block))
-    spread = F.xxhash64("id", "v")
-    data = rows.withColumn("b", F.pmod(spread, F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    asked = rows.filter("q").select("id", "v").dropDuplicates().withColumn("qb", F.pmod(spread, F.lit(query_blocks)))
-    asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if id_column in ("query_id", "rank", "score"):
+        raise ValueError(f"the result has a column {id_column} of its own")
+    spark = vectors.sparkSession
+    bounded_batches(spark)
     limit = chi_square_quantile(confidence, projections)
+    with scratch_scope(spark), Buckets(spark) as tables:
+        rows = valid(vectors, id_column, vector_column)
+        if dims is None:
+            first = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+            dims = first.n if first else 0
+        rows = rows.filter(F.size("v") == dims)
+        points = materialise(distinct_vectors(rows, k), "points")
+        # A query is its id and vector: rows that repeat an id with other vectors are queries of their own.
+        asked = rows.filter(is_query(F.col("id"))).select("id", "v").distinct().withColumn("digest", F.xxhash64("v"))
+        n = points.count()
+        sample = points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toPandas()["v"]
+        wanted = min(max_cells, max(1, -(-n // cell_rows)))
+        cells = Cells(projected(_matrix(sample), projections) if len(sample) else np.zeros((0, projections)), wanted)
+        blocks = max(1, -(-n // (cell_rows * len(cells.low))))
+        shared = spark.sparkContext.broadcast(cells)
+
+        @F.pandas_udf("int")
+        def cell_of(v: pd.Series) -> pd.Series:
+            return pd.Series(shared.value.of(projected(_matrix(v), projections)).astype("int32"))
+
+        @F.pandas_udf("array<int>")
+        def open_cells(v: pd.Series, kth: pd.Series) -> pd.Series:
+            at, reach = projected(_matrix(v), projections), limit * np.maximum(0, 2 - 2 * kth.to_numpy())
+            return pd.Series([shared.value.within(p, r).astype("int32") for p, r in zip(at, reach)])
+
+        placed = points.withColumns({"cell": cell_of("v"), "block": F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")})
+        placed = tables.write(placed, ["cell", "block"])
+        every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        asked = materialise(asked.withColumn("own", cell_of("v")), "queries")
+
+        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            names = ["query_id", "digest", "id", "score"]
+            if not len(left) or not len(right):
+                return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in names})
+            index = Index(_matrix(left["v"]), [[(x["id"], x["n"]) for x in own] for own in left["ids"]], k, projections)
+            out = []
+            for i, h, q, kth in zip(right["id"], right["digest"], _matrix(right["v"]), right["kth"]):
+                out += [(i, h, j, c) for c, j in index.search(int(i), q, limit, kth)]
+            return pd.DataFrame(out, columns=names)
+
+        def answered(sent: DataFrame) -> DataFrame:
+            found = placed.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block"))
+            return found.applyInPandas(search, "query_id long, digest long, id long, score double")
+
+        order = Window.partitionBy("query_id", "digest").orderBy(F.col("score").desc(), "id")
+        best = F.row_number().over(order)
+        nothing = F.lit(-math.inf)
+        own = asked.select("id", "digest", "v", nothing.alias("kth"), F.col("own").alias("cell"), every_block)
+        near = materialise(answered(own).withColumn("rank", best).filter(F.col("rank") <= k), "own-cell")
+        kth = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "digest", F.col("score").alias("kth"))
+        known = asked.join(kth, ["id", "digest"], "left").withColumn("kth", F.coalesce("kth", nothing))
+        other = known.withColumn("cell", F.explode(open_cells("v", "kth"))).filter("cell != own")
+        far = answered(other.select("id", "digest", "v", "kth", "cell", every_block))
+        found = near.drop("rank").unionByName(far)
+        ranked = found.withColumn("rank", best).filter(F.col("rank") <= k)
+        return materialise(ranked.select("query_id", "rank", F.col("id").alias(id_column), "score"), "nearest", keep=True)
+
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "digest", "id", "score"]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in names})
-        index = Index(left["id"].to_numpy(), np.array(left["v"].tolist()), k, projections)
-        out = []
-        for i, h, v in zip(right["id"], right["digest"], right["v"]):
-            out += [(i, h, j, c) for c, j in index.search(int(i), np.asarray(v), limit)]
-        return pd.DataFrame(out, columns=names)
-
-    # A query is its id and vector: rows that repeat an id with other vectors are queries of their own.
-    asked = asked.withColumn("digest", F.xxhash64("v"))
-    found = data.select("b", "qb", "id", "v").groupBy("b", "qb").cogroup(asked.groupBy("b", "qb"))
-    found = found.applyInPandas(search, "query_id long, digest long, id long, score double")
-    order = Window.partitionBy("query_id", "digest").orderBy(F.col("score").desc(), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_column), "score")
-
-
-__all__ = ["Index", "Tree", "chi_square_quantile", "cosine", "materialise", "nearest", "valid"]
+__all__ = ["Cells", "Index", "Tree", "chi_square_quantile", "cosine", "materialise", "nearest", "valid"]

@@ -69,9 +69,9 @@ def test_runs_are_levelled_and_compacted(spark):
     assert len(rows) == len(set(rows)) == 33
     totals = runs.totals().collect()
     assert len(totals) == 33 and sorted(r.n for r in totals)[-5:] == [7, 7, 7, 7, 28] and max(r.keeper for r in totals) == 27
-    with line_dedup.sorted_buckets(spark):
+    with line_dedup.in_written_order(spark):
         plan = runs.totals()._jdf.queryExecution().sparkPlan().toString() + runs.totals()._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     lines.unpersist()
     runs.close()
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skeinery_lines")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skeinery_")]
