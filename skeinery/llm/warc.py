@@ -1,9 +1,10 @@
 """WARC archives as chunked record tables.
 
-A page's payload is cut into (record, chunk number, bytes) rows before it reaches a writer, and a reader hands out
-the same rows again, each with the SHA-1 of the payload up to and with that chunk. A reader holds no more than one
-chunk of a record; whole payloads are hashed and carried through the revisit join before they are cut. Records whose
-payload was seen before (same length and SHA-1) become revisits of the one with the smallest page_id.
+A page's payload is cut into (record, chunk number, bytes) rows in the very scan that reads it; only chunks move between
+tasks, and neither a writer nor a reader holds more than one chunk of a record. Which payloads were seen before (same
+length and SHA-1) is decided first, on a narrow table of keys; records that repeat one become revisits of the one with the
+smallest page_id, and give no chunks. Writer and reader carry the digest from chunk to chunk; at a payload's end it must be
+what was announced. A reader hands out the chunk rows again, each with the SHA-1 of the payload up to and with that chunk.
 
 Archives are gzip files with a member for each record, written straight to the shared folder through pyarrow's file
 systems under names no other attempt uses; the manifest, a table that Spark commits, names the files that count, so a
@@ -11,7 +12,8 @@ lost or repeated task leaves at most an unnamed file. Archives are read by byte
 
 Defined cases: null html is the empty payload; a null url gets the target urn:page:<page_id>; a null page_id is kept
 as null and is never what others refer to unless all are null (then all are responses); rows that repeat the smallest
-page_id with an equal payload are all responses; an empty table gives an empty table.
+page_id with an equal payload are all responses; payloads may be as long as a cell can be; other columns, whatever their
+names, are no part of a record and are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinery.llm._common import bounded_batches, materialise, scratch_path
+from skeinery.llm._common import bounded_batches, materialise, scratch_path, scratch_scope
 
 CHUNK_BYTES = 1 << 20
 #: Archive bytes that one reading task takes, about.
 SPLIT_BYTES = 32 << 20
+#: Reading tasks at most; beyond it a task reads several splits, one after the other.
+MAX_READERS = 20_000
 LEVEL = 4
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
@@ -47,27 +51,40 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, f'{page_id}/{digest}')}>"
 
 
-def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) as page_id, url, payload, payload_bytes, sha1 (hex) and refers_to."""
+def records(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_bytes and sha1 (hex) of ``pages`` (page_id, url, html), as they are scanned."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    whole = whole.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
-    keys = materialise(whole.select("page_id", "payload_bytes", "sha1"), "warc-keys")
+    return whole.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
+
+
+def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(k, k_null, k_sha1, refers_to): the page_ids (k, or null) whose payload of that digest revisits another page's."""
+    keys = materialise(records(pages).select("page_id", "payload_bytes", "sha1"), "warc-keys")
     firsts = keys.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_bytes", "sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     # Both sides of the join are written tables, so AQE can split a payload that a third of the pages share.
     firsts = materialise(firsts.filter("n > 1").drop("n"), "warc-firsts")
     revisits = keys.join(firsts, ["payload_bytes", "sha1"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    revisits = revisits.select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("page_id").isNull().alias("k_null"), F.col("sha1").alias("k_sha1"), "refers_to").distinct()
-    on = (F.coalesce("page_id", F.lit(-1)) == F.col("k")) & (F.col("page_id").isNull() == F.col("k_null")) & (F.col("sha1") == F.col("k_sha1"))
-    return whole.join(revisits, on, "left").select("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to")
+    revisits = revisits.select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("page_id").isNull().alias("k_null"), F.col("sha1").alias("k_sha1"), "refers_to")
+    return materialise(revisits.distinct(), "warc-revisits")
 
 
-def chunked(decided: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk rows of each record, in order; a revisit is one row without data."""
-    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk_bytes)))
-    rows = decided.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
-    data = F.when(F.col("refers_to").isNull(), F.substring("payload", (F.col("chunk_no") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)))
-    return rows.select("page_id", "url", "payload_bytes", "sha1", "refers_to", "chunk_no", data.alias("data"))
+def chunked(pages: DataFrame, revisits: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunk rows of each record, a record's in one partition and in order; a revisit is one row without data.
+
+    Rows that repeat a page_id with one payload are told apart by ``row``, which need not be the same in another run.
+    """
+    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("payload_bytes") / chunk_bytes).cast("long"))
+    rows = records(pages).withColumn("row", F.monotonically_increasing_id())
+    # Within one stage: the payload is a variable of the generated loop, not a column of its output.
+    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    data = F.substring("payload", (F.col("chunk_no") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
+    rows = rows.select("page_id", "url", "payload_bytes", "sha1", "row", "chunk_no", data.alias("data"))
+    on = (F.coalesce("page_id", F.lit(-1)) == F.col("k")) & (F.col("page_id").isNull() == F.col("k_null")) & (F.col("sha1") == F.col("k_sha1"))
+    rows = rows.join(revisits, on, "left").filter(F.col("refers_to").isNull() | (F.col("chunk_no") == 0))
+    rows = rows.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data"))).drop("k", "k_null", "k_sha1")
+    # A record's chunks come from one task and have one key, so they stay together however AQE reads the shuffle.
+    return rows.sortWithinPartitions("row", "chunk_no")
 
 
 def _head(page_id, url, payload_bytes: int, digest: str, refers_to, date: str) -> bytes:
@@ -108,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
         system, path = fs.FileSystem.from_uri(folder)
         name = f"{path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-        out, at, begun, pack = None, 0, 0, None
+        out, at, begun, pack, sha, got = None, 0, 0, None, None, 0
         for batch in batches:
             done = []
             for row in batch.to_pylist():
@@ -116,12 +133,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(name, compression=None)
                 if row["chunk_no"] == 0:
-                    pack, begun = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), at
+                    pack, begun, sha, got = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), at, hashlib.sha1(), 0
                     digest = base32_sha1(bytes.fromhex(row["sha1"]))
                     at += out.write(pack.compress(_head(row["page_id"], row["url"], row["payload_bytes"], digest, row["refers_to"], date)))
                 data = row["data"] or b""
                 at += out.write(pack.compress(data))
-                if row["refers_to"] is not None or row["chunk_no"] * chunk_bytes + len(data) >= row["payload_bytes"]:
+                sha.update(data)
+                got += len(data)
+                if row["refers_to"] is not None or got >= row["payload_bytes"]:
+                    if row["refers_to"] is None and (got != row["payload_bytes"] or sha.hexdigest() != row["sha1"]):
+                        raise ValueError(f"the chunks of page {row['page_id']} aren't its payload")
                     at += out.write(pack.compress(b"\r\n\r\n") + pack.flush())
                     done.append((name, begun, at - begun, row["page_id"]))
             if done:
@@ -129,9 +150,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         if out is not None:
             out.close()
 
-    manifest = chunked(decide(pages, min_bytes), chunk_bytes).mapInArrow(write, MANIFEST)
-    # The names are paths within the file system of the folder.
-    return materialise(manifest, "warc-manifest").withColumn("folder", F.lit(folder))
+    with scratch_scope(spark):
+        manifest = chunked(pages, decide(pages, min_bytes), chunk_bytes).mapInArrow(write, MANIFEST)
+        # The names are paths within the file system of the folder.
+        return materialise(manifest, "warc-manifest", keep=True).withColumn("folder", F.lit(folder))
 
 
 class _Member:
@@ -234,4 +256,4 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
 
     # A row is 32 MB of work but a few bytes: the number of tasks is given, or else AQE would put all rows into one.
     splits = materialise(splits, "warc-splits")
-    return splits.repartition(max(1, splits.count())).mapInArrow(read, CHUNKS)
+    return splits.repartition(min(MAX_READERS, max(1, splits.count()))).mapInArrow(read, CHUNKS)

@@ -4,7 +4,9 @@ import io
 
 import pytest
 
-from skeinery.llm import warc
+from pyspark.sql import functions as F
+
+from skeinery.llm import queries, warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -61,3 +63,17 @@ def test_empty_repeated_and_damaged(spark):
     data[data.index(b"some")] = 0
     with pytest.raises(ValueError, match="damaged"):
         list(warc.read_records(io.BytesIO(gzip.compress(bytes(data))), 1))
+
+
+def test_a_very_long_payload_and_clashing_names(spark):
+    text = "0123456789abcdef" * (3 << 20)  # 48 MB
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.when(F.col("id") > 0, F.repeat(F.lit("0123456789abcdef"), 3 << 20)).otherwise("x").alias("html"), F.lit(1).alias("row"), F.lit(2).alias("data"), F.lit("k").alias("sha1"))
+    chunks = warc.read_archives(warc.write_archives(pages), with_data=False)
+    assert result(chunks) == brute([(0, None, "x"), (1, None, text), (2, None, text)])
+    assert sorted(r.chunk_no for r in chunks.filter("page_id = 1").collect()) == list(range(48))
+
+
+def test_the_registered_query(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = sorted(map(tuple, queries.op6_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
+    assert got == brute([(r.page_id, r.url, r.html) for r in pages.collect()])
