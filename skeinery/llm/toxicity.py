@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word's input is the sum of a hashed word embedding and the mean of hashed character n-gram embeddings ("<word>",
-n = 3 and 4), so forms that were never seen share what their stems have taught. Two gated recurrent units read a
+A word's input is the sum of a hashed word embedding and the mean of hashed character n-gram embeddings ("<word>"
+without the marks around it, n = 3 to 6), so forms that were never seen share what their stems have taught. Two gated recurrent units read a
 window of words in either direction, attention pools their states, and a linear unit gives the window's logit. All
 overlapping windows of a text are scored, the text's logit is the largest: an insult counts wherever it stands, in
 however long a text.
@@ -9,10 +9,11 @@ however long a text.
 Labels are on texts, so training is multiple-instance learning: each round takes from every text of the sample the
 window that the present network scores highest (first: the one with the largest log-odds), for toxic texts as the
 positive instance, for others as the hardest negative one, and takes Adam steps on the windows. Embeddings begin with
-the features' log-odds in one component. At last the logits are shifted to where the sample's texts part best.
+the features' log-odds in one component. A quarter of the texts, by a hash, teaches nothing: at last the logits are
+shifted to where these part best.
 
-The fit uses a bounded sample: at most ``max_texts`` of each class, of at most ``max_chars`` characters, chosen by a
-hash of doc_id. Scoring uses every text whole. Words are remembered by their gate inputs, within a bound.
+The fit uses a bounded sample: at most ``max_texts`` toxic and three times as many others, of at most ``max_chars``
+characters, chosen by a hash of doc_id. Scoring uses every text whole. Words are remembered by their gate inputs, within a bound.
 
 Defined cases: null, empty and blank texts score 0; texts shorter than a window are one window; rows with null labels
 teach nothing; of rows that repeat a doc_id each is scored by its own text, and any toxic label counts for all;
@@ -22,22 +23,26 @@ columns pass through.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinery.llm._common import bounded_batches, spare
 
-WINDOW, STRIDE = 32, 24
-HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 13
+WINDOW, STRIDE = 32, 16
+HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 15
+#: Lengths of the character n-grams.
+GRAMS = (3, 4, 5, 6)
 #: Words whose gate inputs a worker remembers, and words that it scores at once.
 REMEMBERED, AT_ONCE = 150_000, 60_000
 #: Words whose n-grams are in memory at once.
 BLOCK = 20_000
-_STRIP = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡…"
+_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)  # the odd fixed point of Fibonacci hashing
 
 
@@ -52,7 +57,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [features(words[lo : lo + BLOCK]) for lo in range(0, len(words), BLOCK)]
         owners = [(own + np.int32(k * BLOCK)) for k, (_, _, own) in enumerate(parts)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(owners)
-    marked = [f"<{w.lower().strip(_STRIP) or '-'}>" for w in words]
+    marked = [f"<{_ENDS.sub('', w.lower()) or '-'}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     starts = np.cumsum(lengths) - lengths
@@ -61,7 +66,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = _mix(np.add.reduceat((codes + np.uint64(1)) * powers[place], starts))
     owner, left = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.repeat(lengths, lengths) - place
     grams, owners = [], []
-    for n in (3, 4):
+    for n in GRAMS:
         if len(codes) < n:
             continue
         h = np.zeros(len(codes) - n + 1, np.uint64)
@@ -204,15 +209,6 @@ def _grid(starts: np.ndarray, lengths: np.ndarray, pace: np.ndarray | int = 1) -
     return starts + pace * np.minimum(t, lengths - 1), (t < lengths).astype(np.float32)[:, :, None]
 
 
-def _log_odds(buckets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of the buckets, by the texts that have them."""
-    n = np.ones((2, BUCKETS))
-    for own, y in zip(buckets, toxic):
-        n[int(y), np.unique(own)] += 1
-    rate = n / (np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]]) + 2)
-    return (np.log(rate[1]) - np.log(rate[0])).astype(np.float32)
-
-
 def fit(texts: list[str], toxic: list[int], rounds: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 3) -> Network:
     """A network for the texts' labels (0 or 1)."""
     net, y = Network(seed), np.array(toxic, np.int64)
@@ -227,23 +223,30 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 6, batch: int = 256, r
     word, gram, owner = features(list(number))
     del number
     firsts = np.searchsorted(owner, np.arange(len(word) + 1))
+    teach = np.array([zlib.crc32(texts[k].encode("utf-8", "surrogatepass")) % 4 > 0 for k in fine])
+    if any(len(np.unique(y[own])) < 2 for own in (teach, ~teach)):  # too few texts to part them
+        teach = np.ones(len(y), bool)
+    taught = np.flatnonzero(teach)
     starts, lengths, text_of, at = [], [], [], 0
-    by_text = []
+    texts_with = {"word": np.ones((2, BUCKETS)), "gram": np.ones((2, BUCKETS))}
     for k, s in enumerate(split):
-        own = np.unique(ids[at : at + len(s)])
-        by_text.append((word[own], np.concatenate([gram[firsts[i] : firsts[i + 1]] for i in own])))
+        if teach[k]:
+            own = np.unique(ids[at : at + len(s)])
+            texts_with["word"][y[k], np.unique(word[own])] += 1
+            texts_with["gram"][y[k], np.unique(np.concatenate([gram[firsts[i] : firsts[i + 1]] for i in own]))] += 1
         for begin, n in windows_of(len(s)):
             starts.append(at + begin)
             lengths.append(n)
             text_of.append(k)
         at += len(s)
     starts, lengths, text_of = np.array(starts), np.array(lengths), np.array(text_of)
-    net.p["word"][:, 0] += 0.5 * _log_odds([w for w, _ in by_text], y)
-    net.p["gram"][:, 0] += 0.5 * _log_odds([g for _, g in by_text], y)
+    for k, n in texts_with.items():  # smoothed log-odds of the buckets, by the texts that have them
+        odds = np.log(n / (np.bincount(y[taught], minlength=2)[:, None] + 2))
+        net.p[k][:, 0] += (0.5 * (odds[1] - odds[0])).astype(np.float32)
     draw = np.random.default_rng(seed)
 
     # Words of clean texts, for windows that repeat one: a clean word stays clean however often it is said.
-    clean = np.flatnonzero(np.repeat(y == 0, [len(s) for s in split]))
+    clean = np.flatnonzero(np.repeat((y == 0) & teach, [len(s) for s in split]))
     repeated = draw.choice(clean, min(len(clean), 10_000), replace=False)
     n = len(starts)
     starts, lengths = np.concatenate([starts, repeated]), np.concatenate([lengths, np.full(len(repeated), WINDOW)])
@@ -257,19 +260,19 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 6, batch: int = 256, r
             out[lo : lo + 2000] = net.logits(table, ids[where], mask)
         return out
 
-    del split, by_text
+    del split
     first = np.bincount(text_of)[: text_of[-1] + 1].cumsum() - np.bincount(text_of)
     inputs = net.inputs(word, gram, owner)[0][:, 0]
     score = np.array([inputs[ids[s : s + n]].max() for s, n in zip(starts.tolist(), lengths.tolist())])
     memory = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for round_ in range(rounds):
-        best = np.array([lo + score[lo:hi].argmax() for lo, hi in zip(first, [*first[1:], n])])
+        best = np.array([lo + score[lo:hi].argmax() for lo, hi, own in zip(first, [*first[1:], n], teach) if own])
         # Also a window by chance of every clean text, so that the easy ones aren't forgotten.
-        chance = np.array([draw.integers(lo, hi) for lo, hi, t in zip(first, [*first[1:], n], y) if not t])
+        chance = np.array([draw.integers(lo, hi) for lo, hi, t in zip(first, [*first[1:], n], (y != 0) | ~teach) if not t])
         hard = n + np.argsort(-score[n:], kind="stable")[:1000]
         take = np.concatenate([best, chance, hard])
-        truth = np.concatenate([y, np.zeros(len(chance) + len(hard), np.int64)])
+        truth = np.concatenate([y[taught], np.zeros(len(chance) + len(hard), np.int64)])
         weight = np.where(truth == 1, len(truth) / (2 * (truth == 1).sum()), len(truth) / (2 * (truth == 0).sum())).astype(np.float32)
         for _ in range(2):
             order = draw.permutation(len(take))
@@ -292,17 +295,19 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 6, batch: int = 256, r
                     net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         score = window_logits()
     of_text = np.maximum.reduceat(score[:n], first)
-    net.shift = np.float32(best_cut(of_text, y))
+    judge = np.flatnonzero(~teach) if not teach.all() else taught
+    net.shift = np.float32(best_cut(of_text[judge], y[judge]))
     return net
 
 
 def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of its gap."""
+    """The cut with the best F-measure, in the middle of its gap."""
     order = np.argsort(-logits, kind="stable")
     sorted_, hits = logits[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][sorted_[:-1] == sorted_[1:]] = -1
-    k = int(f1.argmax())
+    marked = np.arange(1, len(y) + 1)
+    f = hits / (marked + y.sum())
+    f[:-1][sorted_[:-1] == sorted_[1:]] = -1
+    k = int(f.argmax())
     return float((sorted_[k] + sorted_[min(k + 1, len(y) - 1)]) / 2)
 
 
@@ -370,18 +375,18 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_texts: int = 1500, max_chars: int = 4000) -> tuple[list[str], list[int]]:
-    """Bounded: at most ``max_texts`` toxic and twice as many other texts, none longer than ``max_chars``, by a hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_texts: int = 1000, max_chars: int = 12_000) -> tuple[list[str], list[int]]:
+    """Bounded: at most ``max_texts`` toxic and three times as many others, none longer than ``max_chars``, by a hash of doc_id."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    short = docs.select("doc_id").filter(F.length(docs["text"]).between(1, max_chars)).join(marked, "doc_id")
-    chosen = []
-    for kind, n in ((1, max_texts), (0, 2 * max_texts)):
-        chosen += short.filter((F.col("toxic") != 0) == bool(kind)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
-    if not chosen:
-        return [], []
-    picked = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic != 0)) for r in chosen], "doc_id long, toxic int").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id")  # at most 3 x max_texts ids
-    rows = sorted(((r.doc_id, r.text, r.toxic) for r in rows.limit(6 * max_texts).collect()), key=lambda r: (r[0], r[1]))
+    # Only the first ranks of a task's rows leave it.
+    short = docs.select("doc_id").filter(F.length(docs["text"]).between(1, max_chars)).join(marked, "doc_id").withColumn("toxic", (F.col("toxic") != 0).cast("int"))
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = short.distinct().withColumn("place", place).filter(F.col("place") <= 3 * max_texts).filter((F.col("toxic") == 0) | (F.col("place") <= max_texts))
+    picked = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen.select("doc_id", "toxic").collect()], "doc_id long, toxic int")
+    # At most 4 x max_texts ids; of rows that repeat an id one is taken, the same in every run.
+    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows]
 
 

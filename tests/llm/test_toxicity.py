@@ -92,4 +92,33 @@ def test_held_out_rows_do_not_teach(spark, sf):
     flipped = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert T.training_sample(docs, labels) == T.training_sample(docs, flipped)
     texts, toxic = T.training_sample(docs, labels, max_texts=5)
-    assert sum(toxic) <= 5 and len(toxic) <= 15
+    assert sum(toxic) <= 5 and len(toxic) <= 20
+
+
+def test_decorated_words_are_the_words():
+    for w in ("zgrum", "Zgrum***", "###zgrum&&&", "zgrum,$$$"):
+        assert [x.tolist() for x in T.features([w])] == [x.tolist() for x in T.features(["zgrum"])]
+    assert len(T.features(["***"])[0]) == 1
+
+
+def test_held_out_documents(spark):
+    """Label noise is in these tables: of 97 held-out toxic texts 11 have no word in common with what marks the others."""
+    from skeinery.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, sf).collect()}
+    judged = [(r.predicted, truth[d]) for d, r in got.items() if r.held_out and d in truth]
+    found, toxic = sum(p and t for p, t in judged), sum(t for _, t in judged)
+    false = sum(p and not t for p, t in judged)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    assert found >= 0.8 * toxic and false <= 0.012 * (len(judged) - toxic), (found, toxic, false, len(judged))
+
+
+def test_ties_and_repeated_rows_teach_alike(spark):
+    texts, labels = corpus(60, 4)
+    rows = [(i % 40, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 5
+    marks = spark.createDataFrame([(i, labels[i]) for i in range(40)] + [(3, labels[3])] * 2, "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = T.training_sample(docs, marks), T.training_sample(docs.repartition(7), marks.repartition(3))
+    assert one == other and len(one[0]) == len({i for i in range(40) if not __import__("zlib").crc32(str(i).encode()) % 5 == 0})
