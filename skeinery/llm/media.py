@@ -122,8 +122,10 @@ def png_decode(data: bytes) -> np.ndarray:
     if head is None or head[2:] != (8, 0, 0, 0, 0):
         raise ValueError("not an 8-bit greyscale PNG without interlacing")
     width, height = head[:2]
-    unpacked = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
-    if unpacked.size != height * (width + 1):
+    # No more is unpacked than the head says, whatever the stream holds.
+    stream = zlib.decompressobj()
+    unpacked = np.frombuffer(stream.decompress(b"".join(parts), height * (width + 1) + 1), np.uint8)
+    if unpacked.size != height * (width + 1) or not stream.eof:
         raise ValueError("wrong amount of samples")
     lines = unpacked.reshape(height, width + 1)
     return unfilter(lines[:, 0], lines[:, 1:])
@@ -152,14 +154,14 @@ def dct_hash(samples: np.ndarray) -> bytes:
 
 
 def encode_png(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """``docs`` with the text's PNG file in a binary column and n_bytes, the length of the text in UTF-8."""
+    """``docs`` with the text's PNG file in a binary column (``media``, or that with a line before it where it is taken) and n_bytes, the length of the text in UTF-8."""
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def png(texts: pa.Array) -> pa.Array:
         return pa.array([png_encode(payload_of(t.as_py())[0]) for t in texts], pa.binary())
 
-    return docs.withColumns({media: png(F.col(text)), spare(docs.columns, "n_bytes"): F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    return docs.withColumns({spare(docs.columns, media): png(F.col(text)), spare(docs.columns, "n_bytes"): F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
 
 
 def decode_png(df: DataFrame, media: str = "media", into: str = "image") -> DataFrame:
@@ -179,4 +181,4 @@ def decode_png(df: DataFrame, media: str = "media", into: str = "image") -> Data
                 out.append((None, None, str(e)))
         return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t.type) for i, t in enumerate(kind)], fields=list(kind))
 
-    return df.withColumn(into, image(F.col(media)))
+    return df.withColumn(spare(df.columns, into), image(F.col(media)))

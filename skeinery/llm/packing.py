@@ -14,6 +14,7 @@ matter. Every id lies in exactly one piece, and every sequence is gapless from 0
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,6 +39,15 @@ AT_ONCE = 1 << 20
 _BLANK = re.compile(r"\s")
 
 
+def _goes_by_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops the white space between words and marks a word's last token."""
+    parts = [(tokenizer.get(k) or {}) for k in ("normalizer", "pre_tokenizer")]
+    normal, pre = (x.get(k) or [x] for x, k in zip(parts, ("normalizers", "pretokenizers")))
+    lowers = any(x.get("type") == "Lowercase" for x in normal)
+    drops = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+    return lowers and drops and tokenizer["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, through a memory of words.
 
@@ -45,7 +55,7 @@ class WordIds:
     stop or comma after a letter is a word of its own for it as well. New words of letters alone are encoded together,
     a thousand at once: each is one token sequence whose last token, and no other, has the end-of-word mark. Texts
     where this could fail (special tokens' marks, or separators that only Python takes for white space) go to the
-    tokenizer whole.
+    tokenizer whole; so does everything with a tokenizer that isn't of this kind.
     """
 
     def __init__(self, path: str):
@@ -56,11 +66,14 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_words = _goes_by_words(json.loads(self.tokenizer.to_str()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self.encode(texts)
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
         for i, ids in zip(whole, self.encode([texts[i] for i in whole]) if whole else []):

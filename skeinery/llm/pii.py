@@ -13,14 +13,16 @@ Spans of the field that touch no base span are added; base spans stay.
 Words without a digit, @ or such a mark can only be outside, so the best path between regions is known beforehand.
 
 Defined cases: null text is the empty text and has no spans; patterns run over the whole text in linear time however
-long it is; repeated rows, an empty table and other columns are as anywhere. Offsets are code points, end exclusive.
+long it is; of a region of any length the field holds 26 bytes a word; repeated rows, an empty table and other columns are as anywhere. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from functools import cache
+from array import array
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Words that an entity can have.
 MAX_WORDS = 6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# Nothing follows the repeated groups, so they need no way back: possessive, and a match of any length takes no memory.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
 # A match can't begin within a run of digits where it couldn't at the run's start, so the look-behind loses none.
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -74,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 16:
+        if 16 <= m.end() - m.start() <= 37:  # 19 digits have 18 separators at most
             digits = _NOT_DIGIT.sub("", m[0])
             if 16 <= len(digits) <= 19 and luhn(digits):
                 out.append((2, *m.span()))
@@ -92,9 +95,31 @@ _TRIM_LEFT, _TRIM_RIGHT = "\"'<[{,;:=", "\"'>]},;:!?."
 _WORD_LEFT = re.compile(r"([^\s]+)[^\S\n]$")
 
 
-def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words (start, end) that can hold an entity."""
-    words: list[tuple[int, int]] = []
+class Words:
+    """The (start, end) of words, as numbers side by side."""
+
+    def __init__(self, words=()):
+        self.at = array("q", (x for w in words for x in w))
+
+    def append(self, start: int, end: int) -> None:
+        self.at.append(start)
+        self.at.append(end)
+
+    def __len__(self) -> int:
+        return len(self.at) // 2
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        if not -len(self) <= i < len(self):
+            raise IndexError(i)
+        i %= len(self)
+        return self.at[2 * i], self.at[2 * i + 1]
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Words) and self.at == other.at
+
+
+def _marked_words(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a digit, @ or spelled-out mark, and the neighbours of spelled-out marks, in order."""
     last = 0
     for m in _MARK.finditer(text):
         s, e = m.span()
@@ -110,22 +135,28 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
             while b > last and not text[b - 1].isspace():
                 b -= 1
             if b < s - 1:
-                words.append((b, s - 1))
-        words.append((s, e))
+                yield b, s - 1
+        yield s, e
         last = e
         if spelled and e + 1 < len(text) and text[e] == " " and not text[e + 1].isspace():
             b = e + 1
             while b < len(text) and not text[b].isspace():
                 b += 1
-            words.append((e + 1, b))
+            yield e + 1, b
             last = b
-    out: list[list[tuple[int, int]]] = []
-    for w in words:
-        if out and w[0] - out[-1][-1][1] == 1 and text[w[0] - 1] == " ":
-            out[-1].append(w)
-        else:
-            out.append([w])
-    return out
+
+
+def regions(text: str) -> Iterator[Words]:
+    """Runs of neighbouring words that can hold an entity."""
+    own, end = Words(), 0
+    for s, e in _marked_words(text):
+        if len(own) and not (s - end == 1 and text[end] == " "):
+            yield own
+            own = Words()
+        own.append(s, e)
+        end = e
+    if len(own):
+        yield own
 
 
 def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
@@ -150,7 +181,7 @@ _CUES = {w: k for k, ws in {
 }.items() for w in ws.split()}
 
 
-@cache
+@lru_cache(maxsize=50_000)
 def _features(segment: str, words: int, cue: str) -> tuple[str, ...]:
     digits = _NOT_DIGIT.sub("", segment)
     n, letters = len(digits), sum(c.isalpha() for c in segment)
@@ -197,17 +228,15 @@ class SemiMarkov:
     def __init__(self, index: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.index, self.weights, self.transitions = index, weights, transitions
 
-    def segments(self, text: str, words: list[tuple[int, int]]):
-        """For each end word: [(first word, span, feature numbers)]."""
-        out = []
+    def segments(self, text: str, words):
+        """For each end word in turn: [(first word, span, feature numbers)]."""
         for j in range(len(words)):
             row = []
             for i in range(j, max(-1, j - MAX_WORDS), -1):
                 s, e = trimmed(text, words[i][0], words[j][1])
                 f = _features(text[s:e], j - i + 1, cue_of(text, words[i][0])) if e - s <= 200 else ("bias", "too long")
                 row.append((i, (s, e), [k for k in map(self.index.get, f) if k is not None]))
-            out.append(row)
-        return out
+            yield row
 
     def scores(self, row) -> np.ndarray:
         """Segment by type; outside is for single words alone."""
@@ -218,31 +247,33 @@ class SemiMarkov:
                 got[k, 1:] = -np.inf
         return got
 
-    def best(self, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities as (kind's number, start, end)."""
+    def best(self, text: str, words) -> list[tuple[int, int, int]]:
+        """The best segmentation's entities as (kind's number, start, end).
+
+        Values are kept for the last ``MAX_WORDS`` words alone; a word and type have two bytes to find the way back by.
+        """
         n, types = len(words), len(KINDS) + 1
-        value, back = np.full((n + 1, types), -np.inf), {}
+        taken, came = np.zeros((n + 1, types), np.int8), np.zeros((n + 1, types), np.int8)
+        value = np.full((MAX_WORDS + 1, types), -np.inf)
         value[0, 0] = 0
         for j, row in enumerate(self.segments(text, words)):
-            got = self.scores(row)
-            for k, (i, span, _) in enumerate(row):
-                came = value[i][:, None] + self.transitions
-                total, prev = came.max(axis=0) + got[k], came.argmax(axis=0)
-                for t in np.flatnonzero(total > value[j + 1]):
-                    value[j + 1, t] = total[t]
-                    back[j + 1, int(t)] = (i, int(prev[t]), span)
-        out, j, t = [], n, int(value[n].argmax())
+            from_ = np.stack([value[i % (MAX_WORDS + 1)] for i, _, _ in row])[:, :, None] + self.transitions
+            total = from_.max(axis=1) + self.scores(row)
+            k = total.argmax(axis=0)
+            value[(j + 1) % (MAX_WORDS + 1)] = total[k, range(types)]
+            taken[j + 1], came[j + 1] = k + 1, from_[k, :, range(types)].argmax(axis=1)
+        out, j, t = [], n, int(value[n % (MAX_WORDS + 1)].argmax())
         while j:
-            i, prev, span = back[j, t]
+            i = j - int(taken[j, t])
             if t:
-                out.append((t - 1, *span))
-            j, t = i, prev
+                out.append((t - 1, *trimmed(text, words[i][0], words[j - 1][1])))
+            j, t = i, int(came[j, t])
         return out[::-1]
 
     def gradient(self, text: str, words: list[tuple[int, int]], gold: list[tuple[int, int, int]]) -> float:
         """Add the log-likelihood's gradient for the gold segments (first word, last word, type); the log-likelihood."""
         n, types = len(words), len(KINDS) + 1
-        rows = self.segments(text, words)
+        rows = list(self.segments(text, words))
         got = [self.scores(r) for r in rows]
         ahead = np.full((n + 1, types), -np.inf)
         ahead[0, 0] = 0
@@ -403,8 +434,6 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             b = base_spans(t)
             base.append(rows(b))
             spans.append(rows(sorted(b + added_spans(t, b, field))))
-        if _features.cache_info().currsize > 200_000:
-            _features.cache_clear()
         return pa.StructArray.from_arrays([pa.array(base, span), pa.array(spans, span)], names=["base", "spans"])
 
     found = spare(docs.columns, "_found")

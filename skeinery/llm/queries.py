@@ -107,4 +107,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP}
+#: Equal payloads are those with equal bytes; the digest's 160 bits are cut into fives.
+_WARC = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), firsts AS (
+  SELECT html, min(page_id) AS first FROM payloads GROUP BY html
+), bits AS (
+  SELECT p.*, f.first, array_to_string(list_transform(string_split(sha1(p.html), ''), lambda c:
+    ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS bits
+  FROM payloads p JOIN firsts f ON p.html = f.html
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INT) * (16 >> j))) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_warc": _WARC}

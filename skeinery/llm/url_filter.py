@@ -4,19 +4,20 @@ Both models are variable-order Markov models over the characters of host and pat
 rejected URLs, smoothed by interpolation down to the uniform distribution (Witten-Bell: the weight of the longer
 context is its count against the number of different characters that followed it). A URL's score is the mean over its
 characters of the difference of the two log-likelihoods, so length doesn't count. The threshold is calibrated on the
-seeds themselves: the value between the two classes' mean scores at equal distance in standard deviations.
+seeds in two folds, each scored by models of the other: the value between the two classes' mean scores at equal distance
+in standard deviations.
 
 Seeds are the URLs that the rules decide. Alphabet: a-z, all digits as one class, . - / _ and one class for the rest
-(41 symbols with the mark before the start), so contexts of ``order`` characters are at most 41 ** order and a model has a
+(32 symbols that a model predicts, and the mark before the start), so there are at most 33 ** order contexts and a model has a
 size of its own, not the corpus'. Seeds are counted over all pages: every distinct URL once for each time it occurs.
 
 Everything is DataFrame functions. Grams are pre-aggregated before each shuffle; the log ratio is computed once for
 each distinct gram; grams meet their ratio in a join salted by page, with the bounded table repeated for each salt, so
-a gram that every URL has is spread.
+a gram that every URL has is spread; a URL goes with its grams as two hashes, so its length is paid for once.
 
 Defined cases: a null url or one without :// has empty host and path, is decided by no rule and scores 0 like any
 empty one; without seeds of both kinds every score is 0; a score of exactly the threshold is allowed; repeated rows are
-judged alike; an empty table gives an empty table; other columns pass through.
+judged alike; a URL of any length is scored whole; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 ORDER = 4
 SALTS = 16
 START = "^"
-SYMBOLS = 41
+#: What a model predicts one of: letters, a digit, . / _ - and the rest.
+SYMBOLS = 26 + 1 + 4 + 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -121,18 +123,31 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, salts: int = SALTS,
     rows = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     rows = rows.withColumn(fits, matching_rule(F.col(host), F.col(path), rules)).withColumn(text, symbols(F.col(host), F.col(path)))
     # Texts that occur more than once (digits are one class) are scored once.
-    kinds = rows.groupBy(F.col(text).alias("text")).agg(F.count_if(F.col(f"{fits}.verdict") == "allow").alias("good"), F.count_if(F.col(f"{fits}.verdict") == "block").alias("bad"))
-    kinds = materialise(kinds, "url-texts")
-    ending = kinds.select("text", "good", "bad", F.explode(grams(F.col("text"), order)).alias("gram"))
-    counts = materialise(ending.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
-    ratios = materialise(log_ratios(counts.filter("good > 0 or bad > 0"), counts, order), "url-ratios")
-    salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    tallied = ending.groupBy("text", "gram").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)))
-    # Sums of rounded values: the same in any order.
-    each = F.round(F.col("ratio") * 1e6).cast("long") * F.col("n")
-    scored = tallied.join(salted, ["gram", "salt"]).groupBy("text").agg((F.sum(each) / F.sum("n") / 1e6).alias("mean"))
-    scored = materialise(kinds.join(scored, "text", "left").select("text", "good", "bad", F.coalesce("mean", F.lit(0.0)).alias("mean")), "url-scores")
-    limit = threshold(scored)
+    of_rules = [F.count_if(F.col(f"{fits}.verdict") == v).alias(c) for v, c in (("allow", "good"), ("block", "bad"))]
+    kinds = rows.groupBy(F.col(text).alias("text")).agg(*of_rules)
+    kinds = kinds.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
+    kinds = materialise(kinds.withColumn("fold", F.pmod("t2", F.lit(2)).cast("int")), "url-texts")
+    ending = kinds.select("t1", "t2", "fold", "good", "bad", F.explode(grams(F.col("text"), order)).alias("gram"))
+    counts = ending.groupBy("gram", "fold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = materialise(counts, "url-grams")
+    tallied = ending.groupBy("t1", "t2", "fold", "gram").agg(F.count("*").alias("n"), F.max((F.col("good") > 0) | (F.col("bad") > 0)).alias("seed"))
+    tallied = materialise(tallied, "url-tallies")
+
+    def means(some: DataFrame, wanted: DataFrame, seeds: DataFrame) -> DataFrame:
+        """(t1, t2, mean) of the texts of ``some``, whose grams are ``wanted``, by the models of ``seeds``."""
+        learnt = seeds.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).filter("good > 0 or bad > 0")
+        ratios = materialise(log_ratios(learnt, wanted.select("gram").distinct(), order), "url-ratios")
+        salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        # Sums of rounded values: the same in any order.
+        each = F.round(F.col("ratio") * 1e6).cast("long") * F.col("n")
+        dealt = some.withColumn("salt", F.pmod("t1", F.lit(salts)))
+        return dealt.join(salted, ["gram", "salt"]).groupBy("t1", "t2").agg((F.sum(each) / F.sum("n") / 1e6).alias("mean"))
+
+    own, other = F.col("fold") == 0, F.col("fold") == 1
+    judged = [means(tallied.filter("seed").filter(x), counts.filter("good > 0 or bad > 0").filter(x), counts.filter(y)) for x, y in ((own, other), (other, own))]
+    limit = threshold(kinds.join(judged[0].unionByName(judged[1]), ["t1", "t2"]).filter("good > 0 or bad > 0"))
+    scored = kinds.join(means(tallied, counts, counts), ["t1", "t2"], "left").select("text", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    scored = materialise(scored, "url-scores")
     joined = rows.join(scored.select(F.col("text").alias(text), F.col("mean").alias(score)), text, "left")
     by_model = F.when(F.coalesce(score, F.lit(0.0)) >= F.lit(limit), "allow").otherwise("block")
     return joined.select(

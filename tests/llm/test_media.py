@@ -73,3 +73,34 @@ def test_columns(spark):
     broken = spark.createDataFrame([(bytearray(b"no"),), (None,)], "media binary")
     assert [r.image.payload for r in media.decode_png(broken).collect()] == [None, None]
     assert media.decode_png(media.encode_png(docs.filter("false"))).count() == 0
+
+
+def test_columns_that_are_there_stay_and_no_stream_unpacks_beyond_its_head(spark):
+    docs = spark.createDataFrame([(1, "some text", "mine", "mine too")], "doc_id long, text string, media string, image string")
+    got = media.encode_png(docs)
+    assert got.columns == ["doc_id", "text", "media", "image", "_media", "n_bytes"]
+    row = media.decode_png(got, media="_media").first()
+    assert (row.media, row.image) == ("mine", "mine too") and bytes(row._image.payload).startswith(b"some text ")
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    bomb = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 4, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(50 << 20))) + chunk(b"IEND", b"")
+    with pytest.raises(ValueError):
+        media.png_decode(bomb)
+
+
+def test_the_registered_query(spark, sf):
+    import hashlib
+    import zlib
+
+    from skeinery.llm import queries
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op10_media_columns(spark, sf).collect():
+        data = texts[r.doc_id]
+        padded = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert r.media_bytes > 0 and len(r.media_sha256) == 64 and len(r.feature) == 16

@@ -102,3 +102,13 @@ def test_odd_rows(spark):
     assert packing.pack(docs.filter("false"), PATH).count() == 0
     many = spark.createDataFrame([(i, "same text") for i in range(3000)], "doc_id long, text string")
     check(packing.pack(many, PATH, window=64).collect(), [(i, "same text") for i in range(3000)], 64)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, theirs, texts = packing.WordIds(path), Tokenizer.from_file(path), ["Hello, World  the\nquick", "", "ab c."]
+    assert not ours.by_words and packing.WordIds(PATH).by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours(texts)] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]

@@ -73,4 +73,38 @@ def test_query_rows(spark):
 
 def test_spelled_marks_in_any_case_are_offered():
     for text in ("jane [at] mail [dot] com", "jane [At] mail [Dot] com", "jane (aT) mail (dOT) com"):
-        assert pii.regions(text) == pii.regions("jane [at] mail [dot] com") != []
+        assert [list(r) for r in pii.regions(text)] == [list(r) for r in pii.regions("jane [at] mail [dot] com")] != []
+
+
+def test_a_long_region_takes_little_memory():
+    """One region of 40,000 numbers: what the field keeps is bytes for each word, and the patterns keep nothing."""
+    import tracemalloc
+
+    text = " ".join(str(7919 * i % 100003) for i in range(40_000))
+    model = pii.trained()
+    pii._features.cache_clear()
+    pii.added_spans(text[:3000], [], model)
+    tracemalloc.start()
+    words = next(iter(pii.regions(text)))
+    assert len(words) == 40_000 and len(words.at) * 8 <= 16 * 40_000
+    part = pii.Words(words[i] for i in range(3000))
+    model.best(text, part)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 90 << 20
+    assert pii.base_spans("1 " * 3_000_000) == []
+
+
+def test_the_registered_query(spark, sf):
+    import hashlib
+
+    from skeinery.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op2_pii(spark, sf).collect():
+        found = [(pii.KINDS[k], a, b) for k, a, b in plain(texts[r.doc_id])]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in found) for kind in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert {(k, int(s), int(e)) for k, s, e in spans} >= set(found)
+        assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), int(x[1])))

@@ -4,6 +4,8 @@ from math import log, sqrt
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from skeinery.llm import url_filter as U
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -26,8 +28,8 @@ def symbols(host, path):
     return re.sub(r"[^a-z0./_-]", "~", re.sub("[0-9]", "0", (host + path).translate(LOWER)))
 
 
-def brute(urls, order=4):
-    rows = [(u, *parts(u), *rule_of(*parts(u))) for u in urls]
+def model(rows, order):
+    """The score of a text by the seeds among ``rows``."""
     counts = {k: [defaultdict(Counter) for _ in range(order + 1)] for k in ("allow", "block")}
     for _, h, p, _, kind in rows:
         if kind:
@@ -37,7 +39,7 @@ def brute(urls, order=4):
                     counts[kind][k][text[i - k : i]][text[i]] += 1
 
     def probability(kind, gram):
-        out = 1 / U.SYMBOLS
+        out = 1 / 32
         for k in range(order + 1):
             seen = counts[kind][k].get(gram[order - k : order])
             if seen:
@@ -49,8 +51,19 @@ def brute(urls, order=4):
         grams = [padded[i : i + order + 1] for i in range(len(text))]
         return sum(round(1e6 * (log(probability("allow", g)) - log(probability("block", g)))) for g in grams) / len(grams) / 1e6 if grams else 0.0
 
+    return score
+
+
+def brute(urls, fold, order=4):
+    rows = [(u, *parts(u), *rule_of(*parts(u))) for u in urls]
+    score = model(rows, order)
     scores = [score(symbols(h, p)) for _, h, p, _, _ in rows]
-    own = {k: [s for s, r in zip(scores, rows) if r[4] == k] for k in counts}
+    own = {"allow": [], "block": []}
+    for x in (0, 1):
+        other = model([r for r in rows if fold[symbols(r[1], r[2])] != x], order)
+        for _, h, p, _, kind in rows:
+            if kind and fold[symbols(h, p)] == x:
+                own[kind].append(other(symbols(h, p)))
     if own["allow"] and own["block"]:
         mean = {k: sum(x) / len(x) for k, x in own.items()}
         sd = {k: sqrt(max(0, sum(v * v for v in x) / len(x) - mean[k] ** 2)) for k, x in own.items()}
@@ -66,7 +79,9 @@ def check(spark, urls):
     assert all(r.asDict()["host"] == "x" for r in got)
     key = lambda x: repr(x[:5])
     mine = sorted(((r.url, r["_host"], r.path, r.rule, r.verdict, r.score) for r in got), key=key)
-    want = sorted(brute(urls), key=key)
+    texts = [(x,) for x in {symbols(*parts(u)) for u in urls}]
+    folds = spark.createDataFrame(texts, "text string").select("text", F.pmod(F.xxhash64(F.lit("second"), "text"), F.lit(2)).alias("fold")).collect()
+    want = sorted(brute(urls, {r.text: r.fold for r in folds}), key=key)
     assert [x[:4] for x in mine] == [x[:4] for x in want]
     for a, b in zip(mine, want):
         assert a[5] == pytest.approx(b[5], abs=3e-6) and (a[4] == b[4] or abs(b[5]) < 1e-4)
@@ -77,7 +92,7 @@ def test_pages(spark, sf):
 
 
 def test_odd_urls(spark):
-    urls = [None, "", "no scheme", "://", "a://", "http://NET", "http://NET/", "x://A.Example.NET/en/é?q#f", "x://badexample.net/en/", "http://a.org/fr/x", "x://fr.org", "http://ü.org/fr/", "x://b.net?x/", "x://b.net#/", "x://y.net/a://b", "x://q.net/\n"] * 2
+    urls = [None, "", "no scheme", "://", "a://", "http://NET", "http://NET/", "x://A.Example.NET/en/é?q#f", "x://badexample.net/en/", "http://a.org/fr/x", "x://fr.org", "http://ü.org/fr/", "x://b.net?x/", "x://b.net#/", "x://y.net/a://b", "x://q.net/\n", "x://long.net/" + "ab1/" * 5000] * 2
     check(spark, urls)
 
 
