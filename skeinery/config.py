@@ -8,6 +8,25 @@ import sys
 from dataclasses import dataclass, fields, replace
 
 
+# Settings that the environment names as they are; all others are read with the prefix SKEINERY_.
+PLAIN = (
+    "cross_encoder_model",
+    "embed_model",
+    "llm_model",
+    "log_level",
+    "max_chunk_chars",
+    "max_content_length",
+    "max_context_tokens",
+    "port",
+    "query_variant_suffixes",
+    "rerank_candidates",
+    "retrieve_cache_size",
+    "rrf_k",
+    "search_service_timeout",
+    "search_service_url",
+)
+
+
 @dataclass(frozen=True)
 class Settings:
     index_root: str = "./index"
@@ -54,8 +73,9 @@ def load(env=None, spark=None, **overrides) -> Settings:
     got: dict = {}
     for f in fields(Settings):
         kind = type(f.default)
-        if f.name in env:
-            got[f.name] = kind(env[f.name])
+        named = f.name if f.name in PLAIN else f"skeinery_{f.name}"
+        if named in env:
+            got[f.name] = kind(env[named])
         if spark is not None and (v := spark.conf.get(f"skeinery.{f.name}", None)) is not None:
             got[f.name] = kind(v)
     return replace(Settings(), **(got | overrides))

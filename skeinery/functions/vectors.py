@@ -18,9 +18,3 @@ def cosine(a: Column, b: Column) -> Column:
     """dot / norms; 0 where either norm is 0, never NaN."""
     n = norm(a) * norm(b)
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
-
-
-def unit(a: Column) -> Column:
-    """Scaled to length 1; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))

@@ -36,6 +36,32 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, GOLDEN)
 
 
+#: Pieces of a text, cut at single blanks, that find candidates in ``holders``.
+KEY_PIECES = 4
+
+
+def holders(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, query, file_name) where the text of ``files`` (file_name, text) contains the query of ``asked`` whole.
+
+    A text that contains a query has all the query's pieces between blanks but the outer two, in order, so candidates
+    are texts with the same four pieces as the query's middle; ``contains`` then decides. A query with fewer than six
+    pieces has no such key and is compared with every text. Nulls are held by nothing and hold nothing.
+    """
+    pieces = F.split("query", " ")
+    keyed = asked.select("query_id", "query", pieces.alias("p")).withColumn("n", F.size("p"))
+    long = keyed.filter(F.col("n") >= KEY_PIECES + 2)
+    middle = F.slice("p", F.floor((F.col("n") - KEY_PIECES) / 2).cast("int") + 1, F.lit(KEY_PIECES))
+    keys = long.select("query_id", F.xxhash64(F.array_join(middle, " ")).alias("key"))
+    words = F.split("text", " ")
+    starts = F.when(F.size(words) >= KEY_PIECES, F.sequence(F.lit(1), F.size(words) - (KEY_PIECES - 1)))
+    held = files.select("file_name", F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, KEY_PIECES), " ")))).alias("key"))
+    pairs = held.join(keys, "key").select("file_name", "query_id").distinct()
+    found = pairs.join(asked, "query_id").join(files, "file_name").filter(F.contains("text", "query"))
+    short = keyed.filter(F.col("n") < KEY_PIECES + 2).select("query_id", "query")
+    plain = short.join(files, F.contains(files["text"], short["query"]))
+    return found.select("query_id", "query", "file_name").unionByName(plain.select("query_id", "query", "file_name"))
+
+
 def ranked_files(chunks: DataFrame) -> DataFrame:
     """(query_id, rank, file) from (query_id, rank, file) of chunks: each file once, at its best place; no null or empty file."""
     files = chunks.filter(F.coalesce("file", F.lit("")) != "").groupBy("query_id", "file").agg(F.min("rank").alias("first"))

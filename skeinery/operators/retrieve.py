@@ -97,11 +97,16 @@ def build_postings(chunks: DataFrame) -> Postings:
     words = chunks.select("node_id", terms(F.col("text")).alias("terms"))
     words = words.select("node_id", F.size("terms").alias("dl"), "terms")
     postings = words.select("node_id", "dl", F.explode("terms").alias("term")).groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = term_frequencies(postings)
     totals = words.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     return Postings(postings, frequencies, totals)
 
 
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """(term, df). Counted over ``tf``, so that a plan which also reads the postings can share their shuffle."""
+    return postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
 def bm25_stats(index: Postings) -> DataFrame:
     """(term, df, n_docs, avgdl, idf)"""
     n = F.col("n_docs").cast("double")

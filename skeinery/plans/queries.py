@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +49,13 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_index(spark: SparkSession, d: str) -> retrieve.Postings:
-    """What a stored index would have: the postings are read several times in a search, the texts are tokenised once."""
-    index = retrieve.build_postings(nodes(spark, d))
-    return retrieve.Postings(*(df.persist(StorageLevel.MEMORY_AND_DISK) for df in (index.postings, index.frequencies, index.totals)))
+    """What a stored index would have; nothing is cached, so that no table outlives its query in the caller's session."""
+    return retrieve.build_postings(nodes(spark, d))
 
 
 def engine(spark: SparkSession, d: str) -> HybridEngine:
     embedder = HashedEmbedder()
-    chunks = with_embedding(nodes(spark, d), embedder).persist(StorageLevel.MEMORY_AND_DISK)
-    return HybridEngine(chunks, keyword_index(spark, d), embedder, S)
+    return HybridEngine(with_embedding(nodes(spark, d), embedder), keyword_index(spark, d), embedder, S)
 
 
 # SQL building blocks: the same definitions, for DuckDB.
@@ -445,9 +442,8 @@ def ranked_files(spark, d):
 
 
 def _golden(spark, d):
-    """Items that some document holds word for word; the items are a fixed small set, sent to the documents' tasks."""
-    docs, items = nodes(spark, d), asked(spark, d)
-    hits = docs.join(F.broadcast(items), F.contains(docs["text"], items["query"]))
+    """Items that some document holds word for word, with those documents' names."""
+    hits = evaluate.holders(nodes(spark, d).select("file_name", "text"), asked(spark, d))
     return hits.groupBy("query_id").agg(F.first("query").alias("query"), F.collect_set("file_name").alias("relevant_files"))
 
 

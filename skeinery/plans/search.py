@@ -26,6 +26,12 @@ class HybridEngine:
     def __init__(self, chunks: DataFrame, postings: Postings, embedder: Embedder, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None):
         self.chunks, self.postings, self.embedder, self.settings, self.cross_encoder = chunks, postings, embedder, settings, cross_encoder
 
+    @classmethod
+    def over(cls, index, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None) -> HybridEngine:
+        """The engine over a stored index (``sources.index.VersionedIndex``); an index that is missing or empty is an error."""
+        index.check()
+        return cls(index.chunks(), index.postings(), index.embedder, settings, cross_encoder)
+
     def retrieve(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(ranked, lists) of the three retrievers for every variant; the vectors are scanned once, for the wide list."""
         s = self.settings

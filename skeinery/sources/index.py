@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 import re
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from skeinery.operators import catalog, manifest
 from skeinery.operators.chunk import chunks as make_chunks
 from skeinery.operators.embed import Embedder, with_embedding
-from skeinery.operators.retrieve import Postings, build_postings
+from skeinery.operators.retrieve import Postings, build_postings, term_frequencies
 
 log = logging.getLogger(__name__)
 
@@ -28,8 +29,9 @@ class IndexMissing(RuntimeError):
 
 
 class VersionedIndex:
-    def __init__(self, spark: SparkSession, root: str, name: str, embedder: Embedder):
-        self.spark, self.root, self.name, self.embedder = spark, root.rstrip("/"), name, embedder
+    def __init__(self, spark: SparkSession, root: str, name: str, embedder: Embedder, chunker: Callable[..., DataFrame] = make_chunks):
+        """``chunker`` takes files (file_path, file_name, text) and its own options, and returns what ``chunk.chunks`` returns."""
+        self.spark, self.root, self.name, self.embedder, self.chunker = spark, root.rstrip("/"), name, embedder, chunker
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -86,11 +88,15 @@ class VersionedIndex:
         try:
             chunks.write.parquet(f"{path}/chunks")
             stored = self.spark.read.parquet(f"{path}/chunks")
-            index = build_postings(stored)
             # By term, so that a search reads the row groups of its terms.
-            index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-            index.frequencies.write.parquet(f"{path}/frequencies")
-            index.totals.coalesce(1).write.parquet(f"{path}/totals")
+            build_postings(stored).postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+            # The texts are tokenised once: frequencies and lengths come from the postings, the number of chunks from the chunks.
+            postings = self.spark.read.parquet(f"{path}/postings")
+            term_frequencies(postings).write.parquet(f"{path}/frequencies")
+            terms = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_terms"))
+            chunk_count = stored.agg(F.count("*").alias("n_docs"))
+            mean = F.when(F.col("n_docs") > 0, F.col("n_terms").cast("double") / F.col("n_docs"))
+            chunk_count.crossJoin(terms).select("n_docs", mean.alias("avgdl")).write.parquet(f"{path}/totals")  # one row each
             self.promote(version)
         except BaseException:
             self._remove(version)
@@ -101,7 +107,7 @@ class VersionedIndex:
         """A full build from ``files`` (file_path, file_name, text)."""
         if self.current() is not None and not overwrite:
             raise FileExistsError(f"index {self.name} exists; pass overwrite=True")
-        return self._write(with_embedding(make_chunks(files, **chunking), self.embedder))
+        return self._write(with_embedding(self.chunker(files, **chunking), self.embedder))
 
     def update(self, files: DataFrame, **chunking) -> str | None:
         """An incremental build: only changed and new files are chunked and embedded; None when nothing changed."""
@@ -114,7 +120,7 @@ class VersionedIndex:
                 log.info("index %s: nothing to do", self.name)
                 return None
             wanted = files.join(manifest.to_reindex(changes), "file_path", "left_semi")
-            rebuilt = with_embedding(make_chunks(wanted, **chunking), self.embedder)
+            rebuilt = with_embedding(self.chunker(wanted, **chunking), self.embedder)
             return self._write(manifest.apply(old, changes, rebuilt.select(*old.columns)))
         finally:
             changes.unpersist()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.operators import manifest
-from skeinery.operators.chunk import chunks as make_chunks
 from skeinery.operators.embed import with_embedding
 from skeinery.sources.index import VersionedIndex
 
@@ -28,7 +27,7 @@ def upsert(index: VersionedIndex, files: DataFrame) -> str | None:
     try:
         if changes.isEmpty():
             return None
-        rebuilt = with_embedding(make_chunks(files.join(manifest.to_reindex(changes), "file_path", "left_semi")), index.embedder)
+        rebuilt = with_embedding(index.chunker(files.join(manifest.to_reindex(changes), "file_path", "left_semi")), index.embedder)
         return index._write(manifest.apply(old, changes, rebuilt.select(*old.columns)))
     finally:
         changes.unpersist()
