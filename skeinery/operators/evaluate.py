@@ -52,9 +52,10 @@ def holders(files: DataFrame, asked: DataFrame) -> DataFrame:
     long = keyed.filter(F.col("n") >= KEY_PIECES + 2)
     middle = F.slice("p", F.floor((F.col("n") - KEY_PIECES) / 2).cast("int") + 1, F.lit(KEY_PIECES))
     keys = long.select("query_id", F.xxhash64(F.array_join(middle, " ")).alias("key"))
-    words = F.split("text", " ")
-    starts = F.when(F.size(words) >= KEY_PIECES, F.sequence(F.lit(1), F.size(words) - (KEY_PIECES - 1)))
-    held = files.select("file_name", F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, KEY_PIECES), " ")))).alias("key"))
+    # The pieces are a column before the generator reads them: inside it, the text would be split again for every place.
+    words = files.select("file_name", F.split("text", " ").alias("w")).filter(F.size("w") >= KEY_PIECES)
+    starts = F.sequence(F.lit(1), F.size("w") - (KEY_PIECES - 1))
+    held = words.select("file_name", F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, KEY_PIECES), " ")))).alias("key"))
     pairs = held.join(keys, "key").select("file_name", "query_id").distinct()
     found = pairs.join(asked, "query_id").join(files, "file_name").filter(F.contains("text", "query"))
     short = keyed.filter(F.col("n") < KEY_PIECES + 2).select("query_id", "query")
