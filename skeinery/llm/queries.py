@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import line_dedup, media, mixing, neighbours, packing, pii, simhash, toxicity, url_filter, warc
+from skeinery.llm import best_fit, line_dedup, media, mixing, neighbours, packing, pii, simhash, spelling, toxicity, url_filter, vector_codes, warc
 from skeinery.llm._common import table
 
 
@@ -72,6 +72,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=2)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    got = vector_codes.with_label_error(coded)
+    return got.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spelling.group_variants(table(spark, sf_dir, "documents"), min_chars=6, min_count=5, ratio=5, every=199)
+    return got.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_simhash_near_dedup,
         op10_media_columns,
+        op11_best_fit_packing,
+        op12_vector_codes,
+        op13_spelling_variants,
     )
 }
 
@@ -126,4 +147,60 @@ SELECT page_id, payload_bytes,
 FROM bits
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_warc": _WARC}
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Squared distances through inner products of doubles, which are exact below 2^53."""
+    steps = [
+        """vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) AS nth
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""pieces AS MATERIALIZED (SELECT vec_id, label, nth, p, v[(p - 1) * len(v) // {parts} + 1 : p * len(v) // {parts}] AS x FROM vectors, range(1, {parts + 1}) t(p))""",
+        f"books0 AS MATERIALIZED (SELECT p, nth - 1 AS entry, x AS c FROM pieces WHERE nth <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""codes{k} AS MATERIALIZED (SELECT vec_id, label, p, x, min(gap) AS gap, arg_min(entry, (gap, entry)) AS entry FROM (
+  SELECT vec_id, label, nth, b.p, x, entry, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS gap FROM pieces a JOIN books{k} b ON a.p = b.p)
+  GROUP BY vec_id, label, nth, p, x)""")
+        if k < rounds:
+            steps.append(f"""means{k} AS (SELECT p, entry, list(m ORDER BY i) AS c FROM (SELECT p, entry, i, floor(sum(x[i]) / count(*)) AS m FROM codes{k}, range(1, len(x) + 1) t(i) GROUP BY p, entry, i) GROUP BY p, entry)""")
+            steps.append(f"books{k + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM books{k} b LEFT JOIN means{k} m USING (p, entry))")
+    steps.append(f"""coded AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', entry::INT)), '' ORDER BY p) AS code, sum(gap)::BIGINT AS error FROM codes{rounds} GROUP BY vec_id)""")
+    steps.append("labels_ AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded GROUP BY label)")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM books{rounds})")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, label_error, codebooks_sha256 FROM coded c JOIN labels_ l ON c.label IS NOT DISTINCT FROM l.label, digest"
+
+
+#: CRC-32 over a list of bytes, by its table of 256 remainders; the bytes of a word are one or two for each code point.
+_SPELLING = r"""
+WITH RECURSIVE remainders(i, step, r) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM remainders WHERE step < 8
+), lookup AS (SELECT list(r ORDER BY i) AS tbl FROM remainders WHERE step = 8
+), found AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + (ord(c) >> 6))::BIGINT, (128 + (ord(c) & 63))::BIGINT] END))),
+    lambda r, b: xor(r >> 8, tbl[xor(r & 255, b) + 1])), 4294967295::BIGINT) AS h FROM found, lookup
+), words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), gone AS MATERIALIZED (
+  SELECT word, n, pos, word[: pos - 1] || word[pos + 1 :] AS rest FROM words, range(1, length(word) + 1) t(pos)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.pos = b.pos AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON a.rest = b.word
+), near AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS best, max(other_n) AS best_n FROM pairs GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near USING (word)
+), chain(word, last) AS (
+  SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL
+)
+SELECT word, form, last AS root, n, n_near, form_n FROM forms JOIN chain USING (word) WHERE last IN (SELECT word FROM forms WHERE form IS NULL)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_warc": _WARC, "op12_vector_codes": _vector_codes(), "op13_spelling_variants": _SPELLING}
