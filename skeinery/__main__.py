@@ -13,7 +13,8 @@ from skeinery import config
 from skeinery.operators import answer, embed
 from skeinery.plans.search import Cached, HybridEngine
 from skeinery.sources import files
-from skeinery.sources.index import IndexMissing, VersionedIndex
+from skeinery.sources.index import IndexBusy, IndexMissing, VersionedIndex
+from skeinery.sources.vectors import VectorTable
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,7 +37,9 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> dict:
     """The command's document."""
-    index = VersionedIndex(spark, args.root or settings.index_root, args.name or settings.index_name, embed.get(settings.embed_model))
+    root = args.root or settings.index_root
+    vectors = VectorTable(spark, f"{root}/embedded-texts", settings.emb_cache_max_size)
+    index = VersionedIndex(spark, root, args.name or settings.index_name, embed.get(settings.embed_model), vectors=vectors)
     if args.command == "build":
         found = files.load(spark, args.folder)
         chunking = {"size": settings.window_tokens, "overlap": settings.window_overlap, "max_chars": settings.max_chunk_chars}
@@ -58,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("skeinery").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         document, code = run(spark, args, config.load(spark=spark)), 0
-    except (IndexMissing, FileExistsError) as trouble:
+    except (IndexBusy, IndexMissing, FileExistsError) as trouble:
         document, code = {"error": str(trouble)}, 1
     print(json.dumps(document), flush=True)
     return code

@@ -1,23 +1,26 @@
 """Retrievers that answer a whole table of query variants: exact nearest neighbours and BM25.
 
-Both return (query_id, variant_no, node_id, score, rank). Scores are rounded to 9 digits before they are ranked, so
+kNN is a tiled product, BM25 reads postings whole or in blocks that a threshold skips. Both return (query_id, variant_no, node_id, score, rank). Scores are rounded to 9 digits before they are ranked, so
 that sums in another order rank alike; ties go to the smaller node_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinery.functions.text import expand_query, terms
 
-#: Query vectors that go to every task at once; more are answered in blocks of their own.
-QUERY_BLOCK = 4096
+#: Query vectors and rows in a tile of the product.
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+#: Postings in a block, about; blocks whose postings a query reads first to get a threshold.
+BLOCK, FIRST_BLOCKS = 128, 8
+#: What a score may seem to fall short of a threshold by summing in another order and rounding.
+SLACK = 1e-8
 HIT = "query_id long, variant_no int, node_id string, score double"
 
 
@@ -31,54 +34,48 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def knn(vectors: DataFrame, asked: DataFrame, k: int, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """The k vectors (node_id, embedding) with the largest cosine for each of ``asked`` (query_id, variant_no, embedding).
 
-    A task multiplies its rows with a bounded block of queries and keeps k for each; only those are shuffled. Zero
-    vectors have cosine 0 with everything.
+    A tiled product: queries and rows are dealt into blocks by hashes, each pair of blocks is a tile that one task
+    multiplies, and a tile hands on k rows for each of its queries, which are merged by rank. Neither side passes through
+    the driver and no task holds more than a block of each. Vectors are read once; a row is sent once for each block of
+    queries. Zero vectors have cosine 0 with everything.
     """
-    n = asked.count()
-    if n <= block:
-        blocks = [asked]
-    else:
-        parts = -(-n // block)
-        dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id", "variant_no"), F.lit(parts)))
-        blocks = [dealt.filter(F.col("_block") == b).drop("_block") for b in range(parts)]
-    found = None
-    for part in blocks:
-        rows = part.select("query_id", "variant_no", "embedding").collect()
-        if rows:
-            hits = vectors.select("node_id", "embedding").mapInArrow(_nearest(rows, k), HIT)
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], HIT)
-    return top(found, k)
-
-
-def _nearest(rows, k: int):
-    matrix = np.array([r.embedding for r in rows], np.float64)
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
-    matrix = matrix / np.where(norms == 0, 1, norms)[:, None]
-    ids = [(r.query_id, r.variant_no) for r in rows]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, str]]] = [[] for _ in ids]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_pylist()
-            data = np.array(batch.column(1).to_pylist(), np.float64)
-            size = np.sqrt((data * data).sum(axis=1))
-            got = np.round(matrix @ (data / np.where(size == 0, 1, size)[:, None]).T, 9) + 0.0
-            cut = np.partition(got, max(0, got.shape[1] - k), axis=1)[:, max(0, got.shape[1] - k)]
-            for q, row in enumerate(got):
-                own = np.flatnonzero(row >= cut[q])
-                best[q] = sorted(best[q] + [(-float(row[i]), names[i]) for i in own])[:k]
-        flat = [(*ids[q], name, -s) for q, own in enumerate(best) for s, name in own]
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64())
-        for at in range(0, len(flat), 10_000):
-            part = flat[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], t) for i, t in enumerate(kinds)], names=["query_id", "variant_no", "node_id", "score"])
+    queries, rows = (max(1, -(-side.count() // block)) for side, block in ((asked, query_block), (vectors, row_block)))
+
+    def dealt(side: DataFrame, own: str, ids: list[str], blocks: int, other: str, others: int) -> DataFrame:
+        number = F.pmod(F.xxhash64(*ids), F.lit(blocks)).cast("int")
+        return side.select(*ids, "embedding", number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left = dealt(asked, "query_block", ["query_id", "variant_no"], queries, "row_block", rows)
+    right = dealt(vectors, "row_block", ["node_id"], rows, "query_block", queries)
+    tile = ["query_block", "row_block"]
+    return top(left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_tile(k), HIT), k)
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of a list column at length 1, in double precision."""
+    data = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    size = np.sqrt((data * data).sum(axis=1))
+    return data / np.where(size == 0, 1, size)[:, None]
+
+
+def _tile(k: int):
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64())
+
+    def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and rows.num_rows:
+            names = rows.column("node_id").to_pylist()
+            got = np.round(_unit(asked.column("embedding")) @ _unit(rows.column("embedding")).T, 9) + 0.0
+            at = max(0, len(names) - k)
+            cut = np.partition(got, at, axis=1)[:, at]
+            for q, v, own, least in zip(asked.column("query_id").to_pylist(), asked.column("variant_no").to_pylist(), got, cut):
+                # All that tie with the k-th stand for the choice by node_id.
+                best = sorted((-float(own[i]), names[i]) for i in np.flatnonzero(own >= least))[:k]
+                out += [(q, v, name, -s) for s, name in best]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["query_id", "variant_no", "node_id", "score"])
 
     return search
 
@@ -107,18 +104,109 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
-def bm25_stats(index: Postings) -> DataFrame:
+@dataclass
+class Blocks:
+    """The keyword index in blocks, for searches that skip most of them.
+
+    blocks(segment, term, level, bucket, n, max_tf, min_dl, postings): a term's postings are dealt into 2^level blocks of
+    about ``BLOCK`` by the first bits of the node's hash, so a frequent term is no single row's or task's. frequencies and
+    totals are those of ``Postings``. dead (segment, node_id): postings that no longer count.
+    """
+
+    blocks: DataFrame
+    frequencies: DataFrame
+    totals: DataFrame
+    dead: DataFrame | None = None
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        return rows if self.dead is None else rows.join(self.dead, ["segment", "node_id"], "left_anti")
+
+    def flat(self) -> Postings:
+        rows = self.blocks.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*")
+        return Postings(self.alive(rows).select("term", "node_id", "dl", "tf"), self.frequencies, self.totals)
+
+
+def bucket_of(node: Column, level: Column) -> Column:
+    """The first ``level`` bits of the node's hash."""
+    return F.when(level == 0, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", F.xxhash64(node), F.lit(64) - level).cast("int"))
+
+
+def in_blocks(postings: DataFrame, frequencies: DataFrame, size: int = BLOCK, segment: int = 0) -> DataFrame:
+    """``postings`` (term, node_id, dl, tf) as blocks. Give written tables: hot terms are then split by AQE before they are dealt into their blocks."""
+    level = F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("df") / F.lit(float(size)))))).cast("int")
+    levels = frequencies.select("term", level.alias("level"))
+    dealt = postings.join(levels, "term").withColumn("bucket", bucket_of(F.col("node_id"), F.col("level")))
+    one = F.struct("node_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    made = dealt.groupBy("term", "level", "bucket").agg(F.count("*").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"), F.collect_list(one).alias("postings"))
+    return made.select(F.lit(segment).alias("segment"), "*")
+
+
+def _weight(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    """A term's part of a score; it grows with tf and falls with dl, so a block's largest tf and least dl bound it."""
+    tf, dl = tf.cast("double"), dl.cast("double")
+    return F.col("idf") * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def bm25_plan(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Which blocks a search has to read: (terms, blocks).
+
+    A first few blocks, those with the largest bounds, give k partial scores and so a threshold that the k-th score
+    reaches at least. Terms whose bounds together stay below it can't bring a node in by themselves: they aren't essential,
+    and are only looked up for nodes found by others. A block of an essential term is read only if its bound and the other
+    terms' bounds reach the threshold.
+    """
+    who = ["query_id", "variant_no"]
+    wanted = _wanted(index, asked)
+    bounded = wanted.join(index.blocks.select("segment", "term", "level", "bucket", "n", "max_tf", "min_dl"), "term").withColumn("bound", _weight(F.col("max_tf"), F.col("min_dl"), k1, b))
+    first = bounded.withColumn("at", F.row_number().over(Window.partitionBy(*who).orderBy(F.col("bound").desc(), "term", "segment", "bucket"))).filter(F.col("at") <= FIRST_BLOCKS)
+    seen = first.join(index.blocks.select("segment", "term", "bucket", "postings"), ["segment", "term", "bucket"])
+    seen = index.alive(seen.select(*who, "segment", "idf", "avgdl", F.explode("postings").alias("p")).select(*who, "segment", "idf", "avgdl", "p.*"))
+    partial = seen.groupBy(*who, "node_id").agg(F.sum(_weight(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
+    kth = F.row_number().over(Window.partitionBy(*who).orderBy(F.col("score").desc()))
+    least = partial.withColumn("at", kth).filter(F.col("at") <= k).filter(F.col("at") == k).select(*who, F.col("score").alias("least"))
+    limits = bounded.groupBy(*who, "term", "idf", "avgdl").agg(F.max("bound").alias("limit"))
+    limits = limits.join(least, who, "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
+    own = Window.partitionBy(*who)  # the terms of one query
+    limits = limits.withColumn("below", F.sum("limit").over(own.orderBy("limit", "term"))).withColumn("all", F.sum("limit").over(own))
+    terms_ = limits.withColumn("essential", F.col("below") >= F.col("least"))
+    each = bounded.drop("idf", "avgdl").join(terms_, [*who, "term"])
+    return terms_, each.withColumn("read", F.col("essential") & (F.col("bound") + F.col("all") - F.col("limit") >= F.col("least")))
+
+
+def _wanted(index: Postings | Blocks, asked: DataFrame) -> DataFrame:
+    terms_ = asked.select("query_id", "variant_no", F.explode(F.array_distinct(terms(F.col("variant")))).alias("term"))
+    return terms_.join(bm25_stats(index), "term")
+
+
+def bm25_pruned(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The rows of ``bm25``, from the blocks that ``bm25_plan`` leaves."""
+    who = ["query_id", "variant_no"]
+    terms_, planned = bm25_plan(index, asked, k, k1, b)
+    where = ["segment", "term", "bucket"]
+    stored = index.blocks.select(*where, "postings")
+    read = planned.filter("read").select(*who, *where, "idf", "avgdl").join(stored, where)
+    read = index.alive(read.select(*who, "segment", "idf", "avgdl", F.explode("postings").alias("p")).select(*who, "segment", "idf", "avgdl", "p.*"))
+    got = read.select(*who, "segment", "node_id", _weight(F.col("tf"), F.col("dl"), k1, b).alias("part"))
+    # Terms that aren't essential: only the block that could hold a found node, and there only its posting.
+    levels = index.blocks.select("segment", "term", "level").distinct()
+    others = terms_.filter("NOT essential").select(*who, "term", "idf", "avgdl").join(levels, "term")
+    sought = got.select(*who, "segment", "node_id").distinct().join(others, [*who, "segment"]).withColumn("bucket", bucket_of(F.col("node_id"), F.col("level")))
+    hit = sought.join(stored, where).withColumn("p", F.get(F.filter("postings", lambda p: p["node_id"] == F.col("node_id")), F.lit(0))).filter("p IS NOT NULL")
+    more = hit.select(*who, "segment", "node_id", _weight(F.col("p.tf"), F.col("p.dl"), k1, b).alias("part"))
+    scores = got.unionByName(more).groupBy(*who, "node_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    return top(scores, k)
+
+
+def bm25_stats(index: Postings | Blocks) -> DataFrame:
     """(term, df, n_docs, avgdl, idf)"""
     n = F.col("n_docs").cast("double")
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return index.frequencies.join(F.broadcast(index.totals)).withColumn("idf", idf)  # one row
 
 
-def bm25(index: Postings, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(index: Postings | Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The k best nodes for each of ``asked`` (query_id, variant_no, variant), by distinct query terms."""
-    wanted = asked.select("query_id", "variant_no", F.explode(F.array_distinct(terms(F.col("variant")))).alias("term"))
-    wanted = wanted.join(bm25_stats(index), "term")
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    weight = F.col("idf") * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    hits = wanted.join(index.postings, "term").groupBy("query_id", "variant_no", "node_id").agg(F.round(F.sum(weight), 9).alias("score"))
-    return top(hits, k)
+    if isinstance(index, Blocks):
+        return bm25_pruned(index, asked, k, k1, b)
+    hits = _wanted(index, asked).join(index.postings, "term").groupBy("query_id", "variant_no", "node_id")
+    return top(hits.agg(F.round(F.sum(_weight(F.col("tf"), F.col("dl"), k1, b)), 9).alias("score")), k)

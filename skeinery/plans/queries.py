@@ -17,7 +17,7 @@ from skeinery.functions import vectors as V
 from skeinery.operators import answer, cache, catalog, chunk, evaluate, fuse, manifest, retrieve
 from skeinery.operators.embed import HashedEmbedder, with_embedding
 from skeinery.plans.search import HybridEngine, documents
-from skeinery.sources import files
+from skeinery.sources import files, scratch
 
 SUFFIX = "implementation"
 S = Settings(bm25_k=6)
@@ -55,7 +55,7 @@ def keyword_index(spark: SparkSession, d: str) -> retrieve.Postings:
 
 def engine(spark: SparkSession, d: str) -> HybridEngine:
     embedder = HashedEmbedder()
-    return HybridEngine(with_embedding(nodes(spark, d), embedder), keyword_index(spark, d), embedder, S)
+    return HybridEngine(nodes(spark, d), keyword_index(spark, d), embedder, S)
 
 
 # SQL building blocks: the same definitions, for DuckDB.
@@ -188,6 +188,17 @@ def bm25_topk(spark, d):
     return got.select("query_id", "variant_no", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_blocks(spark, d):
+    """The same rows from written blocks, most of which aren't read."""
+    flat = keyword_index(spark, d)
+    postings = scratch.written(flat.postings, "postings")
+    frequencies = scratch.written(retrieve.term_frequencies(postings), "frequencies")
+    blocks = scratch.written(retrieve.in_blocks(postings, frequencies), "blocks")
+    got = retrieve.bm25(retrieve.Blocks(blocks, frequencies, flat.totals), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k)
+    return got.select("query_id", "variant_no", "node_id", "rank", F.round("score", 6).alias("score"))
+
+
 # -- vectors
 
 
@@ -212,7 +223,7 @@ def cosine_pairs(spark, d):
 
 def _knn(spark, d, k):
     e = engine(spark, d)
-    got = retrieve.knn(e.chunks, with_embedding(retrieve.variants(asked(spark, d), [SUFFIX]), e.embedder, text="variant"), k)
+    got = retrieve.knn(e.vectors(), with_embedding(retrieve.variants(asked(spark, d), [SUFFIX]), e.embedder, text="variant"), k)
     return got.select("query_id", "variant_no", "node_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -14,29 +14,35 @@ from skeinery.config import Settings
 from skeinery.functions import vectors
 from skeinery.operators import fuse, retrieve
 from skeinery.operators.embed import Embedder, with_embedding
-from skeinery.operators.retrieve import Postings
+from skeinery.operators.retrieve import Blocks, Postings
 
 #: logits(queries, texts): a model that reads both together.
 CrossEncoder = Callable[[list[str], list[str]], list[float]]
 
 
 class HybridEngine:
-    """``chunks`` has node_id, file_name, file_path, text, embedding (and text_embedding where re-ranking should use another)."""
+    """``chunks`` has node_id, file_name, file_path, text, embedding (and text_embedding where re-ranking should use another).
 
-    def __init__(self, chunks: DataFrame, postings: Postings, embedder: Embedder, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None):
+    Chunks without vectors are embedded when they are searched: each once for the vector search, and the few candidates again for the score.
+    """
+
+    def __init__(self, chunks: DataFrame, postings: Postings | Blocks, embedder: Embedder, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None):
         self.chunks, self.postings, self.embedder, self.settings, self.cross_encoder = chunks, postings, embedder, settings, cross_encoder
 
     @classmethod
     def over(cls, index, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None) -> HybridEngine:
         """The engine over a stored index (``sources.index.VersionedIndex``); an index that is missing or empty is an error."""
         index.check()
-        return cls(index.chunks(), index.postings(), index.embedder, settings, cross_encoder)
+        return cls(index.chunks(), index.blocks(), index.embedder, settings, cross_encoder)
+
+    def vectors(self) -> DataFrame:
+        return self.chunks if "embedding" in self.chunks.columns else with_embedding(self.chunks.select("node_id", "text"), self.embedder)
 
     def retrieve(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(ranked, lists) of the three retrievers for every variant; the vectors are scanned once, for the wide list."""
         s = self.settings
         asked = with_embedding(retrieve.variants(queries, s.suffixes), self.embedder, text="variant")
-        wide = retrieve.knn(self.chunks, asked, s.wide_k)
+        wide = retrieve.knn(self.vectors(), asked, s.wide_k)
         keywords = retrieve.bm25(self.postings, asked, s.bm25_k, s.bm25_k1, s.bm25_b)
         return fuse.ranked_lists(wide, keywords, s.narrow_k), fuse.list_weights(asked, s.original_weight)
 
@@ -46,9 +52,11 @@ class HybridEngine:
 
     def scored(self, queries: DataFrame) -> DataFrame:
         """Candidates with their texts and the final score."""
-        second = "text_embedding" if "text_embedding" in self.chunks.columns else "embedding"
-        nodes = self.chunks.select("node_id", "file_name", "file_path", "text", F.col(second).alias("node_vector"))
-        found = self.candidates(queries).join(nodes, "node_id")
+        second = next((c for c in ("text_embedding", "embedding") if c in self.chunks.columns), None)
+        vector = [F.col(second).alias("node_vector")] if second else []
+        found = self.candidates(queries).join(self.chunks.select("node_id", "file_name", "file_path", "text", *vector), "node_id")
+        if not second and not self.cross_encoder:
+            found = with_embedding(found, self.embedder, into="node_vector")
         if self.cross_encoder:
             model = self.cross_encoder
 
