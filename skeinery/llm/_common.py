@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,25 +62,29 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_scopes: list[list[str]] = []
+#: The scopes around the running code, innermost last: each thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Tables that ``materialise`` writes within are deleted at the end, but for those written with ``keep``."""
-    _scopes.append([])
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in own:
             remove(spark, path)
 
 
 def in_scope(path: str, keep: bool = False) -> None:
     """Have the present scope (with ``keep`` the one around it) delete ``path``; without a scope it stays for whoever reads the result."""
-    at = len(_scopes) - 1 - keep
+    scopes = _scopes.get()
+    at = len(scopes) - 1 - keep
     if at >= 0:
-        _scopes[at].append(path)
+        scopes[at].append(path)
 
 
 def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from skeinery.llm._common import materialise
 
 from .test_line_dedup import brute as lines_brute
 from .test_packing import PATH, check
-from .test_simhash_wide import kept_by_brute_force
+from .test_similar import kept_by_brute_force
 
 
 def test_stages_one_by_one(spark, sf):
@@ -35,5 +35,5 @@ def test_stages_one_by_one(spark, sf):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()} and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and PATH and packing and simhash
