@@ -246,7 +246,9 @@ def plan(spark: SparkSession, counts: dict[int, int], window: int = WINDOW, isla
         return live
 
     for step in range(rounds):
-        state = materialise(state.groupBy("island").applyInPandas(life(step), schema), "islands")
+        # By a number of partitions of its own, so that the islands aren't put together in one task.
+        dealt = state.repartition(4 * islands, "island")
+        state = materialise(dealt.groupBy("island").applyInPandas(life(step), schema), "islands")
         best = state.orderBy("bins", "slack", "plan").select("bins", "plan").first()  # at most islands x (population + 1) rows
         if best.bins <= bound:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.llm import best_fit, line_dedup, media, mixing, neighbours, packing, pii, simhash, spelling, toxicity, url_filter, vector_codes, warc
-from skeinery.llm._common import table
+from skeinery.llm._common import materialise, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = media.decode_png(media.encode_png(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_bytes", "media", "image.*")
+    stored = materialise(media.encode_png(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "media")
+    got = media.decode_png(stored).select("doc_id", "n_bytes", "media", "image.*")
     return got.select(
         "doc_id",
         "n_bytes",

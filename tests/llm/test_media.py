@@ -5,7 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skeinery.llm import media
+from pyspark.sql import functions as F
+
+from skeinery.llm import media, queries
 
 
 @settings(max_examples=100, deadline=None)
@@ -104,3 +106,14 @@ def test_the_registered_query(spark, sf):
         padded = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert r.media_bytes > 0 and len(r.media_sha256) == 64 and len(r.feature) == 16
+
+
+def test_the_query_reads_stored_files(spark, sf, monkeypatch):
+    """Encoded once and written; what is read back comes from the table, damage and all."""
+    plan = queries.op10_media_columns(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "png(" not in plan
+    write = queries.materialise
+    spoil = F.concat(F.substring("media", 1, 60), F.unhex(F.lit("FF")), F.expr("substring(media, 62, octet_length(media))"))
+    monkeypatch.setattr(queries, "materialise", lambda df, tag: write(df.withColumn("media", F.when(F.col("doc_id") % 2 == 0, spoil).otherwise(F.col("media"))), tag))
+    rows = queries.op10_media_columns(spark, sf).collect()
+    assert all((r.payload_sha256 is None) == (r.doc_id % 2 == 0) for r in rows)
