@@ -1,4 +1,4 @@
-"""Commands: ``python -m skeinery build FOLDER``, ``query TEXT``, ``ask TEXT``. One line of JSON on stdout, logs on stderr."""
+"""Commands: ``python -m skeinery build FOLDER``, ``query TEXT``, ``ask TEXT``, ``evaluate``, ``serve-tools``. One line of JSON on stdout, logs (and the evaluation's table) on stderr."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from skeinery import config
-from skeinery.operators import answer, embed
+from skeinery.operators import answer, embed, evaluate
 from skeinery.plans.search import Cached, HybridEngine
+from skeinery.serving import protocol
 from skeinery.sources import files
 from skeinery.sources.index import IndexBusy, IndexMissing, VersionedIndex
 from skeinery.sources.vectors import VectorTable
@@ -32,6 +33,12 @@ def parser() -> argparse.ArgumentParser:
         if name == "ask":
             one.add_argument("--mode")
             one.add_argument("--model", help="module:function that completes a prompt; without it the prompt itself is given")
+    test = commands.add_parser("evaluate", help="measure the index on a golden set")
+    test.add_argument("--golden", required=True, help="JSONL of query and relevant_files")
+    test.add_argument("--k", type=int)
+    test.add_argument("--out", help="write the report as JSON to this file")
+    tools = commands.add_parser("serve-tools", help="offer the search as a tool over JSON-RPC on stdin and stdout")
+    tools.add_argument("--url", help="address of the search service")
     return out
 
 
@@ -48,6 +55,12 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: config.Settings
     engine = HybridEngine.over(index, settings)
     if args.command == "query":
         return Cached(lambda: (index.current(), engine), settings.retrieve_cache_size).query(args.text, args.top_k)
+    if args.command == "evaluate":
+        k = args.k or settings.eval_k
+        rows, means = evaluate.evaluate(evaluate.load_golden(spark, args.golden), k, engine.search)
+        evaluate.report(rows, means, k, args.out, stream=sys.stderr)
+        mean = means.first()
+        return {f"recall@{k}": mean.recall, "mrr": mean.mrr, f"ndcg@{k}": mean.ndcg, "queries": mean.n_queries}
     complete = str
     if args.model:
         module, _, function = args.model.partition(":")
@@ -58,10 +71,13 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: config.Settings
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config.setup_logging()
+    if args.command == "serve-tools":
+        protocol.serve(url=args.url)  # a client of the service; no session is needed
+        return 0
     spark = SparkSession.builder.appName("skeinery").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         document, code = run(spark, args, config.load(spark=spark)), 0
-    except (IndexBusy, IndexMissing, FileExistsError) as trouble:
+    except (IndexBusy, IndexMissing, FileExistsError, ValueError) as trouble:
         document, code = {"error": str(trouble)}, 1
     print(json.dumps(document), flush=True)
     return code

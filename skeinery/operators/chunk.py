@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +18,31 @@ from skeinery.operators.chunk_code import chunk_code
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
-def line_pieces(df: DataFrame, budget: int = 3200, text: str = "text") -> DataFrame:
-    """``df`` with piece_no and piece: lines joined while they fit; a line over the budget stays whole.
+def pieces_of(text: str, budget: int) -> list[str]:
+    """The text cut between lines: each piece takes lines while they fit, at least one; a last piece of white space alone is dropped.
 
-    Lines keep their newline; a last piece of white space alone is dropped. The fold stays in the JVM.
+    The next cut is found on the lines' ends, so the work is linear in the text and every character is copied once.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    n = F.size(lines)
-    kept = F.transform(lines, lambda x, i: F.when(i < n - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(state, line):
-        full = (state["open"] != "") & (F.length(state["open"]) + F.length(line) > budget)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, line).otherwise(F.concat(state["open"], line)).alias("open"),
-        )
-
-    def finish(state):
-        return F.when(F.trim(F.regexp_replace(state["open"], r"\s+", "")) != "", F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-
-    pieces = F.aggregate(F.filter(kept, lambda x: x != ""), start, step, finish)
-    return df.withColumn("_pieces", pieces).select(*df.columns, F.posexplode("_pieces").alias("piece_no", "piece"))
+    lines = text.split("\n")
+    ends = list(accumulate([*(len(x) + 1 for x in lines[:-1]), *([len(lines[-1])] if lines[-1] else [])]))
+    out, done, begin = [], 0, 0
+    while done < len(ends):
+        done = max(done + 1, bisect_right(ends, begin + budget, done))
+        out.append(text[begin : ends[done - 1]])
+        begin = ends[done - 1]
+    if out and not out[-1].strip(" \t\n\x0b\f\r"):
+        out.pop()
+    return out
+
+
+def line_pieces(df: DataFrame, budget: int = 3200, text: str = "text") -> DataFrame:
+    """``df`` with piece_no and piece: lines joined while they fit, with their newlines; a line over the budget stays whole."""
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([pieces_of(t.as_py() or "", budget) for t in texts], pa.list_(pa.string()))
+
+    return df.withColumn("_pieces", cut.asNondeterministic()(F.col(text))).select(*df.columns, F.posexplode("_pieces").alias("piece_no", "piece"))
 
 
 def sentences(text: str) -> list[str]:
