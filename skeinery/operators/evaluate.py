@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 GOLDEN = "query_id long, query string, relevant_files array<string>"
 
@@ -36,31 +40,68 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, GOLDEN)
 
 
-#: Pieces of a text, cut at single blanks, that find candidates in ``holders``.
-KEY_PIECES = 4
+#: Bytes of queries in one automaton; more are answered by several, a scan of the files each.
+AUTOMATON_BYTES = 8 << 20
+
+
+@lru_cache(maxsize=2)
+def _automaton(token: str, queries: tuple[str, ...]):
+    """Of the queries that aren't empty; built once a worker for a block of queries."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for q in queries:
+        if q:
+            out.add_word(q, q)
+    out.make_automaton()
+    return out
 
 
 def holders(files: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, query, file_name) where the text of ``files`` (file_name, text) contains the query of ``asked`` whole.
 
-    A text that contains a query has all the query's pieces between blanks but the outer two, in order, so candidates
-    are texts with the same four pieces as the query's middle; ``contains`` then decides. A query with fewer than six
-    pieces has no such key and is compared with every text. Nulls are held by nothing and hold nothing.
+    An automaton over all queries finds those that a text holds in one pass over it, so the files are scanned once and
+    nothing of them is shuffled. Queries go to the tasks in blocks of a checked size. Nulls are held by nothing and hold
+    nothing; the empty query is held by every text.
     """
-    pieces = F.split("query", " ")
-    keyed = asked.select("query_id", "query", pieces.alias("p")).withColumn("n", F.size("p"))
-    long = keyed.filter(F.col("n") >= KEY_PIECES + 2)
-    middle = F.slice("p", F.floor((F.col("n") - KEY_PIECES) / 2).cast("int") + 1, F.lit(KEY_PIECES))
-    keys = long.select("query_id", F.xxhash64(F.array_join(middle, " ")).alias("key"))
-    # The pieces are a column before the generator reads them: inside it, the text would be split again for every place.
-    words = files.select("file_name", F.split("text", " ").alias("w")).filter(F.size("w") >= KEY_PIECES)
-    starts = F.sequence(F.lit(1), F.size("w") - (KEY_PIECES - 1))
-    held = words.select("file_name", F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, KEY_PIECES), " ")))).alias("key"))
-    pairs = held.join(keys, "key").select("file_name", "query_id").distinct()
-    found = pairs.join(asked, "query_id").join(files, "file_name").filter(F.contains("text", "query"))
-    short = keyed.filter(F.col("n") < KEY_PIECES + 2).select("query_id", "query")
-    plain = short.join(files, F.contains(files["text"], short["query"]))
-    return found.select("query_id", "query", "file_name").unionByName(plain.select("query_id", "query", "file_name"))
+    items = asked.filter(F.col("query").isNotNull()).select("query_id", "query").distinct()
+    size = items.agg(F.sum(F.octet_length("query")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // AUTOMATON_BYTES))
+    spark, kind = files.sparkSession, asked.schema["query_id"].dataType.simpleString()
+    found = None
+    for block in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        by_query: dict[str, list] = {}
+        for r in own.toLocalIterator():  # a block's bytes at most
+            by_query.setdefault(r.query, []).append(r.query_id)
+        hits = _held(files, spark.sparkContext.broadcast(by_query), kind)
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct()
+
+
+def _held(files: DataFrame, shared, kind: str) -> DataFrame:
+    token = uuid.uuid4().hex
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_query = shared.value
+        automaton = _automaton(token, tuple(by_query)) if any(by_query) else None
+        for batch in batches:
+            ids, queries, names = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                held = {q for _, q in automaton.iter(text)} if automaton else set()
+                if "" in by_query:
+                    held.add("")
+                for q in held:
+                    ids += by_query[q]
+                    queries += [q] * len(by_query[q])
+                    names += [name] * len(by_query[q])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, queries, names), schema)], schema=schema)
+
+    columns = f"query_id {kind}, query string, file_name string"
+    schema = to_arrow_schema(files.sparkSession.createDataFrame([], columns).schema)
+    return files.select("file_name", "text").mapInArrow(search, columns)
 
 
 def ranked_files(chunks: DataFrame) -> DataFrame:

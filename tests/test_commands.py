@@ -78,3 +78,16 @@ def test_queries_cache_nothing(spark, sf):
 def test_environment_prefix():
     assert load(env={"ALPHA": "0.1", "TOP_K": "3", "PORT": "81"}) == load(env={"PORT": "81"})
     assert load(env={"SKEINERY_ALPHA": "0.1"}).alpha == 0.1
+
+
+def test_holders_scans_once(spark, monkeypatch):
+    files = spark.createDataFrame([(f"f{i}", f"text {i} of many words, number {i % 7} é") for i in range(50)] + [("n", None)], "file_name string, text string")
+    items = [(1, "number 3"), (2, "é"), (3, "text 4"), (4, "none"), (5, ""), (6, "text 4"), (7, None)]
+    asked = spark.createDataFrame(items, "query_id long, query string")
+    want = sorted((i, q, r.file_name) for i, q in items for r in files.collect() if q is not None and r.text is not None and q in r.text)
+    got = evaluate.holders(files, asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(evaluate, "AUTOMATON_BYTES", 5)
+    assert sorted(map(tuple, evaluate.holders(files, asked).collect())) == want
