@@ -195,7 +195,8 @@ def bm25_blocks(spark, d):
     postings = scratch.written(flat.postings, "postings")
     frequencies = scratch.written(retrieve.term_frequencies(postings), "frequencies")
     blocks = scratch.written(retrieve.in_blocks(postings, frequencies), "blocks")
-    got = retrieve.bm25(retrieve.Blocks(blocks, frequencies, flat.totals), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k)
+    totals = scratch.written(flat.totals, "totals")
+    got = retrieve.bm25(retrieve.Blocks(blocks, frequencies, totals), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k)
     return got.select("query_id", "variant_no", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
