@@ -8,10 +8,11 @@ where they lie. A query reads its own cell first, leaf by leaf in order of proje
 its original vector, until the chi-square test says that a vector nearer than the k-th verified one would by now have been
 met with the wanted probability. Then it goes on to every other cell that the same test leaves open, and to no other.
 
-A row lies in one cell and is sent nowhere else; a query goes to the cells within its reach. Cells have about
-``CELL_ROWS`` rows while there are at most ``MAX_CELLS``; beyond that they are dealt into blocks of that size by a hash, and
-a query reads all blocks of a cell, so that a task holds a bounded number of rows. Broadcast are the splits, whose number is
-bounded. Equal vectors are kept once with the k + 1 smallest ids, which is all that the answer can hold.
+Cells have about ``CELL_ROWS`` rows while there are at most ``MAX_CELLS``; beyond that they are dealt into blocks of that
+size by a hash, and a query reads all blocks of a cell. The queries sent to a cell are dealt into parts of about
+``QUERY_ROWS``, each of which meets a copy of the cell's rows, so a task holds a bounded number of both. Broadcast are the
+splits and the number of parts of each cell, both bounded by the number of cells. Equal vectors are kept once with the k + 1
+smallest ids, which is all that the answer can hold.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do rows with a
 null id or another number of components than most (given as ``dims``, else the most frequent one, of equals the smaller);
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinery.llm._common import Buckets, bounded_batches, materialise, scratch_scope
+from skeinery.llm._common import bounded_batches, materialise, scratch_scope
 
 PROJECTIONS = 10
 #: The chance with which a nearer neighbour should have been met before a query stops.
@@ -38,6 +39,10 @@ CONFIDENCE = 0.97
 LEAF = 48
 #: Rows in a cell, about; cells at most; vectors that the cells are fitted on at most.
 CELL_ROWS, MAX_CELLS, SAMPLE = 4096, 1024, 20_000
+#: Queries that meet a cell's rows in one task, about.
+QUERY_ROWS = 4096
+#: What rounding can make of a squared distance of 0 between vectors at length 1.
+ROUNDING = 1e-12
 SEED = 11
 
 
@@ -115,6 +120,11 @@ def projected(vectors: np.ndarray, projections: int = PROJECTIONS) -> np.ndarray
     return (vectors / lengths(vectors)[:, None]) @ directions(vectors.shape[1], projections)
 
 
+def reach(limit: float, kth):
+    """The squared projected distance within which the chi-square test leaves a search open, given its k-th cosine."""
+    return limit * (np.maximum(0, 2 - 2 * kth) + ROUNDING)
+
+
 class Cells:
     """The upper levels of the tree: halves at the median of the widest axis, the fullest cell first, and each cell's box."""
 
@@ -124,12 +134,14 @@ class Cells:
         self.low, self.high = [np.full(d, -np.inf)], [np.full(d, np.inf)]
         parent: list[tuple[int, int] | None] = [None]
         own = [np.arange(len(points))]
-        while len(own) < cells:
-            c = max(range(len(own)), key=lambda i: len(own[i]))
+        whole: set[int] = set()  # cells of points that are all alike
+        while len(own) < cells and len(whole) < len(own):
+            c = max((i for i in range(len(own)) if i not in whole), key=lambda i: len(own[i]))
             spread = np.ptp(points[own[c]], axis=0) if len(own[c]) else np.zeros(1)
             axis = int(spread.argmax())
             if len(own[c]) < 2 or spread[axis] == 0:
-                break
+                whole.add(c)
+                continue
             values = points[own[c], axis]
             cut = float(np.median(values))
             if not (values < cut).any():
@@ -162,10 +174,10 @@ class Cells:
             open_ = open_[at[open_] >= 0]
         return -at - 1
 
-    def within(self, point: np.ndarray, reach: float) -> np.ndarray:
-        """The cells whose boxes are at most a squared distance of ``reach`` away."""
+    def within(self, point: np.ndarray, far: float) -> np.ndarray:
+        """The cells whose boxes are at most a squared distance of ``far`` away."""
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
-        return np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+        return np.flatnonzero((gap * gap).sum(axis=1) <= far)
 
 
 class Index:
@@ -191,13 +203,13 @@ class Index:
         order, step, done = np.argsort(bound, kind="stable"), 4, 0
         while done < len(order):
             kth = max(known, best[k - 1][0] if len(best) >= k else -math.inf)
-            reach = limit * max(0.0, 2 - 2 * kth)
-            if bound[order[done]] > reach:
+            within = reach(limit, kth)
+            if bound[order[done]] > within:
                 break
             rows = np.concatenate([np.arange(*self.tree.leaves[i]) for i in order[done : done + step]])
             done, step = done + step, min(2 * step, 64)
             gap = self.points[rows] - at
-            rows = rows[(gap * gap).sum(axis=1) <= reach]
+            rows = rows[(gap * gap).sum(axis=1) <= within]
             got = cosine(self.vectors[rows], self.norms[rows], query, norm)
             near = got >= kth
             rows, got = rows[near], got[near]
@@ -238,6 +250,7 @@ def nearest(
     max_cells: int = MAX_CELLS,
     confidence: float = CONFIDENCE,
     projections: int = PROJECTIONS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """query_id, rank (from 1), the neighbour's id under its own name, score: for each row where ``is_query`` (a function of the id column) holds."""
     if id_column in ("query_id", "rank", "score"):
@@ -245,7 +258,7 @@ def nearest(
     spark = vectors.sparkSession
     bounded_batches(spark)
     limit = chi_square_quantile(confidence, projections)
-    with scratch_scope(spark), Buckets(spark) as tables:
+    with scratch_scope(spark):
         rows = valid(vectors, id_column, vector_column)
         if dims is None:
             first = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -267,11 +280,11 @@ def nearest(
 
         @F.pandas_udf("array<int>")
         def open_cells(v: pd.Series, kth: pd.Series) -> pd.Series:
-            at, reach = projected(_matrix(v), projections), limit * np.maximum(0, 2 - 2 * kth.to_numpy())
-            return pd.Series([shared.value.within(p, r).astype("int32") for p, r in zip(at, reach)])
+            at, far = projected(_matrix(v), projections), reach(limit, kth.to_numpy())
+            return pd.Series([shared.value.within(p, r).astype("int32") for p, r in zip(at, far)])
 
         placed = points.withColumns({"cell": cell_of("v"), "block": F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")})
-        placed = tables.write(placed, ["cell", "block"])
+        placed = materialise(placed, "placed")
         every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
         asked = materialise(asked.withColumn("own", cell_of("v")), "queries")
 
@@ -286,18 +299,25 @@ def nearest(
             return pd.DataFrame(out, columns=names)
 
         def answered(sent: DataFrame) -> DataFrame:
-            found = placed.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block"))
+            """What ``sent`` (id, digest, v, kth, cell) finds: blocks of each cell's rows by parts of the queries sent there."""
+            parts = F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("parts")
+            load = F.broadcast(sent.groupBy("cell").agg(parts))  # a row for each cell
+            left = placed.join(load, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            right = sent.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int"))
+            right = right.select("id", "digest", "v", "kth", "cell", "part", every_block)
+            tile = ["cell", "block", "part"]
+            found = left.select(*tile, "v", "ids").groupBy(*tile).cogroup(right.groupBy(*tile))
             return found.applyInPandas(search, "query_id long, digest long, id long, score double")
 
         order = Window.partitionBy("query_id", "digest").orderBy(F.col("score").desc(), "id")
         best = F.row_number().over(order)
         nothing = F.lit(-math.inf)
-        own = asked.select("id", "digest", "v", nothing.alias("kth"), F.col("own").alias("cell"), every_block)
+        own = asked.select("id", "digest", "v", nothing.alias("kth"), F.col("own").alias("cell"))
         near = materialise(answered(own).withColumn("rank", best).filter(F.col("rank") <= k), "own-cell")
         kth = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "digest", F.col("score").alias("kth"))
         known = asked.join(kth, ["id", "digest"], "left").withColumn("kth", F.coalesce("kth", nothing))
-        other = known.withColumn("cell", F.explode(open_cells("v", "kth"))).filter("cell != own")
-        far = answered(other.select("id", "digest", "v", "kth", "cell", every_block))
+        known = materialise(known.withColumn("cells", open_cells("v", "kth")), "open-cells")
+        far = answered(known.withColumn("cell", F.explode("cells")).filter("cell != own").select("id", "digest", "v", "kth", "cell"))
         found = near.drop("rank").unionByName(far)
         ranked = found.withColumn("rank", best).filter(F.col("rank") <= k)
         return materialise(ranked.select("query_id", "rank", F.col("id").alias(id_column), "score"), "nearest", keep=True)

@@ -1,15 +1,14 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 Fingerprints are reduced to distinct values first, so exact copies are one entry. Two fingerprints of 8 bytes that
-differ in at most 2 bits differ in at most 2 bytes, so of the 4 position blocks of two bytes each at least 2 are equal,
-and of the other 4 positions at least 2. The index is kept in two steps: a fingerprint is filed under each pair of blocks
-with their bytes (6 lists), and within a list of more than one it has a posting for each other position with its byte.
-Postings that a pair shares are tallied, pairs with the guaranteed 2 (6 positions with the list's own 4) are retained and
-verified by their differing bits.
-
-A list of over ``max_list`` fingerprints emits no pairs. Its fingerprints go another, exact way: each is filed under
-itself and its 64 neighbours at one bit; two fingerprints meet at some point if and only if they differ in at most 2
-bits, and at most 65 can meet at one point. That is a choice for speed alone, both ways find the same components.
+differ in at most 2 bits differ in at most 2 bytes, so they share at least 6 positional bytes. The index is refined in two
+steps, each of which drops lists of one: a fingerprint is filed under each pair of the 4 blocks of two bytes (6 lists of 4
+equal bytes), and within a list under each two of the other positions (28 lists of 6 equal bytes in all). Fingerprints in a
+list of 6 have shared the guaranteed number with another one; such a list isn't paired out, however long it is, but each
+of its members is filed once more under itself and under itself with one bit changed in the positions that it may differ
+in. Members meet at such a point if and only if they differ in at most 2 bits, and at most 65 can meet at one. Pairs that
+met have their shared positional bytes tallied, those with at least 6 are retained and verified by their differing bits.
+Rows at each step grow with the fingerprints (at most 6, 28 and 65 for each), and lists of every length go this one way.
 
 Defined cases: null, empty or blank texts have fingerprint 0 and are linked like any other; fewer words than a
 shingle: the whole sequence is the shingle; a text of any length is hashed in blocks; repeated rows share a fingerprint
@@ -87,42 +86,48 @@ def _mask(positions) -> F.Column:
     return F.lit(mask - ((mask >> 63) << 64))
 
 
-def tallied(filed: DataFrame) -> DataFrame:
-    """(u, v): pairs within a list of ``filed`` (k, bytes, fp) whose shared postings reach the guaranteed number."""
-    fp = F.col("fp")
-    other = F.array(*[F.array(*[F.lit(i) for b in BLOCKS if b not in pair for i in b]) for pair in combinations(BLOCKS, 2)])
-    postings = filed.select("k", "bytes", "fp", F.explode(F.get(other, F.col("k"))).alias("position"))
-    postings = postings.withColumn("byte", F.expr("shiftrightunsigned(fp, 8 * position)").bitwiseAND(F.lit(0xFF)))
-    postings = materialise(postings.withColumn("fp", fp), "byte-postings")
-    at = ["k", "bytes", "position", "byte"]
-    both = postings.withColumnRenamed("fp", "u").join(postings.withColumnRenamed("fp", "v"), at).filter("u < v")
-    tally = both.groupBy("k", "bytes", "u", "v").agg(F.count("*").alias("shared"))
-    return tally.filter(F.col("shared") >= 4 - BITS).select("u", "v").distinct()
+def _free_positions() -> list[list[int]]:
+    """For each pair of blocks the two positions (as bits) that its lists of 6 leave free; what several pairs could give is with the first."""
+    pairs, free = list(combinations(BLOCKS, 2)), []
+    for pair in pairs:
+        other = [i for b in BLOCKS if b not in pair for i in b]
+        first = {b: next(p for p in pairs if b not in p) for b in BLOCKS}
+        free.append([1 << i | 1 << j for i, j in combinations(other, 2) if first.get((i, j), pair) == pair])
+    return free
+
+
+def _shared(lists: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """The rows of ``lists`` whose list (``keys``) holds more than one fingerprint."""
+    filed = materialise(lists, tag)
+    several = materialise(filed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), f"{tag}-lists")
+    return filed.join(several, keys)
 
 
-def links(distinct: DataFrame, max_list: int = 64) -> DataFrame:
+def links(distinct: DataFrame) -> DataFrame:
     """(u, v) between the distinct fingerprints of ``distinct`` (fp) that differ in at most 2 bits, enough to connect all that do."""
     fp, u, v = F.col("fp"), F.col("u"), F.col("v")
-    keys = [F.struct(F.lit(k).alias("k"), fp.bitwiseAND(_mask((*p, *q))).alias("bytes")) for k, (p, q) in enumerate(combinations(BLOCKS, 2))]
-    filed = materialise(distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.bytes"), "filed")
-    lists = materialise(filed.groupBy("k", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-    pairs = tallied(filed.join(lists.filter(F.col("n") <= max_list).select("k", "bytes"), ["k", "bytes"]))
-    pairs = pairs.filter(F.bit_count(u.bitwiseXOR(v)) <= BITS)
-    hot = filed.join(lists.filter(F.col("n") > max_list), ["k", "bytes"]).select("fp").distinct()
-    flips = [fp] + [fp.bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)]
-    points = hot.select("fp", F.explode(F.array(*flips)).alias("point"))
+    fours = [F.struct(F.lit(k).alias("k"), fp.bitwiseAND(_mask((*p, *q))).alias("bytes")) for k, (p, q) in enumerate(combinations(BLOCKS, 2))]
+    filed = _shared(distinct.select("fp", F.explode(F.array(*fours)).alias("key")).select("fp", "key.k", "key.bytes"), ["k", "bytes"], "four-bytes")
+    sixes = [[F.struct(F.lit(f).alias("free"), fp.bitwiseAND(_mask(i for i in range(8) if not f >> i & 1)).alias("bytes")) for f in free] for free in _free_positions()]
+    at_k = F.coalesce(*[F.when(F.col("k") == k, F.array(*six)) for k, six in enumerate(sixes)])
+    filed = _shared(filed.select("fp", F.explode(at_k).alias("key")).select("fp", "key.free", "key.bytes"), ["free", "bytes"], "six-bytes")
+    open_ = filed.groupBy("fp").agg(F.bit_or("free").alias("free"))
+    flips = "transform(filter(sequence(0, 63), i -> getbit(free, i div 8) = 1), i -> fp ^ shiftleft(1L, i))"
+    points = open_.select("fp", F.explode(F.concat(F.array(fp), F.expr(flips))).alias("point"))
     met = points.groupBy("point").agg(F.collect_list("fp").alias("at")).filter(F.size("at") > 1)  # 65 at most
-    stars = met.select(F.array_min("at").alias("u"), F.explode("at").alias("v")).filter("u != v")
-    return pairs.unionByName(stars).distinct()
+    pairs = met.select(F.array_min("at").alias("u"), F.explode("at").alias("v")).filter("u != v").distinct()
+    apart = u.bitwiseXOR(v)
+    tally = sum(((apart.bitwiseAND(_mask((i,))) == 0).cast("int") for i in range(8)), F.lit(0))
+    return pairs.filter((tally >= 8 - BITS) & (F.bit_count(apart) <= BITS))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_list: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (signed long), root (the component's smallest fingerprint) and component_id, its smallest doc_id."""
     prints = fingerprints(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp")
     prints = materialise(prints, "prints")
     with scratch_scope(docs.sparkSession):
         distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-        members = with_components(distinct, links(distinct.select("fp"), max_list), "fp")
+        members = with_components(distinct, links(distinct.select("fp")), "fp")
     # Both sides are written tables, so AQE splits a fingerprint that a third of the rows share.
     return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 

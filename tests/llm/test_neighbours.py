@@ -88,6 +88,41 @@ def test_cells_split_all_points():
     assert (nn.Cells(np.zeros((50, 4)), 8).of(np.ones((3, 4))) == 0).all() and (nn.Cells(np.zeros((0, 4)), 8).of(points) == 0).all()
 
 
+def test_cells_of_equal_points_stay_whole_while_others_split():
+    points = np.concatenate([np.zeros((500, 3)), np.random.default_rng(2).standard_normal((300, 3)) + 9])
+    cells = nn.Cells(points, 8)
+    own = cells.of(points)
+    assert len(cells.low) == 8 and np.bincount(own, minlength=8).max() == 500
+
+
+def exact(rows, k=5):
+    """By the definition, with the operator's own measure: parallel vectors differ in its last bits."""
+    ids, v = np.array([i for i, _ in rows]), nn.scaled(np.array([v for _, v in rows]))
+    n, out = nn.lengths(v), {}
+    for i, q, norm in zip(ids.tolist(), v, n.tolist()):
+        if i % 50 == 0:
+            c = nn.cosine(v, n, q, norm)
+            out[i] = sorted(((j, s) for j, s in zip(ids.tolist(), c.tolist()) if j != i), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def test_parallel_vectors(spark):
+    rng = np.random.default_rng(3)
+    line = rng.standard_normal(8)
+    rows = [(i, (line * (0.37 + i)).tolist()) for i in range(200)] + [(i, rng.standard_normal(8).tolist()) for i in range(200, 400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(nn.nearest(table, lambda i: i % 50 == 0, cell_rows=100)), exact(rows)
+    assert {q: got[q] for q in (0, 50, 100, 150)} == {q: want[q] for q in (0, 50, 100, 150)} and got.keys() == want.keys()
+
+
+def test_queries_are_dealt_into_bounded_parts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(600)] + [(50, rng.standard_normal(6).tolist()) for _ in range(80)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, parts = (sorted(map(tuple, nn.nearest(table, lambda i: i % 50 == 0, cell_rows=150, query_rows=n).collect())) for n in (4096, 4))
+    assert whole == parts and sum(1 for x in whole if x[0] == 50) == 81 * 5
+
+
 def test_the_registered_query(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     got, want = found(queries.op8_nearest_neighbours(spark, sf)), brute([(r.vec_id, r.embedding) for r in table.collect()])

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,8 +48,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("max_list", [4, 1000])
-def test_links_connect_all_that_are_near(spark, max_list):
+def test_links_connect_all_that_are_near(spark):
     r = random.Random(4)
     fps = [signed(r.getrandbits(64)) for _ in range(60)]
     for _ in range(500):
@@ -59,13 +57,49 @@ def test_links_connect_all_that_are_near(spark, max_list):
             f ^= 1 << r.randrange(64)
         fps.append(signed(f))
     fps += [0, -1, -(2**63), 2**63 - 1]
-    links = simhash.links(spark.createDataFrame([(f,) for f in set(fps)], "fp long"), max_list)
-    assert all(((x.u ^ x.v) & (2**64 - 1)).bit_count() <= 4 for x in links.collect())
+    links = simhash.links(spark.createDataFrame([(f,) for f in set(fps)], "fp long"))
+    assert all(((x.u ^ x.v) & (2**64 - 1)).bit_count() <= 2 for x in links.collect())
     got = {x.node: x.root for x in graph.connected_components(links).collect()}
     want = components(fps)
     assert {f: got.get(f, f) for f in want} == want
 
 
+def test_every_six_positions_have_one_list():
+    free = [f for own in simhash._free_positions() for f in own]
+    assert len(free) == len(set(free)) == 28 and all(f.bit_count() == 2 for f in free)
+
+
+def test_long_lists_are_whole_and_not_paired_out(spark, monkeypatch):
+    """3,000 fingerprints share six bytes (every pair reaches the tally), and half of them differ from the rest in a seventh."""
+    r = random.Random(5)
+    low = r.sample(range(1 << 16), 1500)
+    fps = [signed(0xABCDEF0123450000 | x) for x in low] + [signed(0xABCDEF0123450000 ^ (0xFF << 40) | x) for x in low]
+    rows, write = {}, simhash.materialise
+
+    def counted(df, tag, keep=False):
+        got = write(df, tag, keep)
+        rows[tag] = got.count()
+        return got
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    links = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long").repartition(8))
+    found = links.collect()
+    assert len(found) <= 65 * len(fps) and rows["four-bytes"] <= 6 * len(fps) and rows["six-bytes"] <= 28 * len(fps)
+    got = {x.node: x.root for x in graph.connected_components(spark.createDataFrame([(x.u, x.v) for x in found], "u long, v long")).collect()}
+    want = components(fps)
+    assert {f: got.get(f, f) for f in want} == want
+
+
+def test_a_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = [(1, long, 5, 6, 7), (2, long + " more", 5, 6, 7), (3, "short text of its own", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root long, first long, component_id long")
+    got = {x.doc_id: (x.component_id, x.fp) for x in simhash.near_duplicates(docs).collect()}
+    assert {d: f for d, (_, f) in got.items()} == {r[0]: signed(plain(r[1])) for r in rows}
+    assert {d: c for d, (c, _) in got.items()} == {1: 1, 2: 1, 3: 3}
+    assert [x.doc_id for x in simhash.representatives(docs).orderBy("doc_id").collect()] == [1, 3]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (200, 201)]
     got = {x.node: x.root for x in graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
