@@ -12,9 +12,11 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60, partial: bool = False) -> DataFrame:
     """(node, root) for every node with an edge; root is the component's smallest node.
 
+    With ``partial`` the steps end after ``rounds`` at the latest: nodes with one root are connected, but a component may have several.
+
     The result is a written table. Minima are pre-aggregated, and edges meet them in a join of two written tables, whose hot keys AQE splits. Self
     loops and repeated edges are allowed; an empty table gives an empty table.
     """
@@ -38,6 +40,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
                 break
             last = now
         else:
-            raise RuntimeError("components did not settle")
+            if not partial:
+                raise RuntimeError("components did not settle")
+            labels = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+            return materialise(labels.groupBy("node").agg(F.min("root").alias("root")), "roots", keep=True)
         leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         return materialise(leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots", keep=True)

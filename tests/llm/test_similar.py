@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline as P
 from skeinery.llm import similar
 from skeinery.llm._common import materialise, scratch_scope
+from skeinery.llm.graph import connected_components
 
 
 def cut(text, words=5):
@@ -165,3 +166,13 @@ def test_scopes_of_two_threads_are_apart(spark):
     done.set()
     thread.join()
     assert got == [5]
+
+
+def test_partial_components_join_only_what_is_connected(spark):
+    """A chain and a star: after one round a component may have several roots, but no root is in two components."""
+    chain, star = [(i, i + 1) for i in range(40)], [(100, 100 + i) for i in range(1, 30)]
+    edges = spark.createDataFrame(chain + star, "u long, v long")
+    got = {x.node: x.root for x in connected_components(edges, rounds=1, partial=True).collect()}
+    assert sorted(got) == [*range(41), *range(100, 130)]
+    assert all((node < 100) == (root < 100) for node, root in got.items()) and {got[x] for x in range(100, 130)} == {100}
+    assert len({x.root for x in connected_components(edges).collect()}) == 2
