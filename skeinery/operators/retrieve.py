@@ -1,15 +1,17 @@
 """Retrievers that answer a whole table of query variants: exact nearest neighbours and BM25.
 
-kNN is a tiled product, BM25 reads postings whole or in blocks that a threshold skips. Both return (query_id, variant_no, node_id, score, rank). Scores are rounded to 9 digits before they are ranked, so
+Both are tiled products, of vectors or of term weights; BM25 reads postings whole or in blocks that a threshold skips. Both return (query_id, variant_no, node_id, score, rank). Scores are rounded to 9 digits before they are ranked, so
 that sums in another order rank alike; ties go to the smaller node_id.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from skeinery.functions.text import expand_query, terms
 
 #: Query vectors and rows in a tile of the product.
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+#: The same for BM25, whose tiles hold a score for each pair.
+ASKED_BLOCK, NODE_BLOCK = 1024, 4096
 #: Postings in a block, about; blocks whose postings a query reads first to get a threshold.
 BLOCK, FIRST_BLOCKS = 128, 8
 #: What a score may seem to fall short of a threshold by summing in another order and rounding.
@@ -24,6 +28,11 @@ SLACK = 1e-8
 HIT = "query_id long, variant_no int, node_id string, score double"
 
 
+def lazily(df: DataFrame, tag: str) -> DataFrame:
+    """What ``settle`` does by default: small tables that are used again are computed again. ``scratch.written`` writes them."""
+    return df
+
+
 def variants(queries: DataFrame, suffixes) -> DataFrame:
     """``queries`` (query_id, query) as (query_id, variant_no, variant, query); the query itself is variant 0."""
     return queries.select("query_id", "query", F.posexplode(expand_query(F.col("query"), suffixes)).alias("variant_no", "variant"))
@@ -93,7 +102,11 @@ def build_postings(chunks: DataFrame) -> Postings:
     """From ``chunks`` (node_id, text). Write the tables (sources.index does) before they are searched often."""
     words = chunks.select("node_id", terms(F.col("text")).alias("terms"))
     words = words.select("node_id", F.size("terms").alias("dl"), "terms")
-    postings = words.select("node_id", "dl", F.explode("terms").alias("term")).groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
+    # The texts are dealt by node, so that their many postings are counted where they are made and aren't shuffled.
+    dealt = chunks.select("node_id", "text").repartition("node_id").select("node_id", terms(F.col("text")).alias("terms"))
+    # The outer explode keeps Spark from cutting every text into terms a second time, to drop those without any before they are dealt.
+    dealt = dealt.select("node_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+    postings = dealt.groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
     frequencies = term_frequencies(postings)
     totals = words.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     return Postings(postings, frequencies, totals)
@@ -131,11 +144,14 @@ def bucket_of(node: Column, level: Column) -> Column:
     return F.when(level == 0, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", F.xxhash64(node), F.lit(64) - level).cast("int"))
 
 
-def in_blocks(postings: DataFrame, frequencies: DataFrame, size: int = BLOCK, segment: int = 0) -> DataFrame:
+def in_blocks(postings: DataFrame, frequencies: DataFrame, size: int = BLOCK, segment: int = 0, settle: Callable[[DataFrame, str], DataFrame] = lazily) -> DataFrame:
     """``postings`` (term, node_id, dl, tf) as blocks. Give written tables: hot terms are then split by AQE before they are dealt into their blocks."""
     level = F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("df") / F.lit(float(size)))))).cast("int")
-    levels = frequencies.select("term", level.alias("level"))
-    dealt = postings.join(levels, "term").withColumn("bucket", bucket_of(F.col("node_id"), F.col("level")))
+    # Most terms are in one block: only the others are looked up.
+    levels = frequencies.select("term", level.alias("level")).filter("level > 0")
+    levels = settle(levels, "levels")
+    dealt = postings.join(levels, "term", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    dealt = dealt.withColumn("bucket", bucket_of(F.col("node_id"), F.col("level")))
     one = F.struct("node_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
     made = dealt.groupBy("term", "level", "bucket").agg(F.count("*").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"), F.collect_list(one).alias("postings"))
     return made.select(F.lit(segment).alias("segment"), "*")
@@ -147,7 +163,7 @@ def _weight(tf: Column, dl: Column, k1: float, b: float) -> Column:
     return F.col("idf") * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
 
 
-def bm25_plan(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def bm25_plan(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, settle: Callable[[DataFrame, str], DataFrame] = lazily) -> tuple[DataFrame, DataFrame]:
     """Which blocks a search has to read: (terms, blocks).
 
     A first few blocks, those with the largest bounds, give k partial scores and so a threshold that the k-th score
@@ -156,9 +172,10 @@ def bm25_plan(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float
     terms' bounds reach the threshold.
     """
     who = ["query_id", "variant_no"]
-    wanted = _wanted(index, asked)
+    wanted = settle(_wanted(index, asked), "wanted")
     bounded = wanted.join(index.blocks.select("segment", "term", "level", "bucket", "n", "max_tf", "min_dl"), "term").withColumn("bound", _weight(F.col("max_tf"), F.col("min_dl"), k1, b))
     first = bounded.withColumn("at", F.row_number().over(Window.partitionBy(*who).orderBy(F.col("bound").desc(), "term", "segment", "bucket"))).filter(F.col("at") <= FIRST_BLOCKS)
+    first = settle(first, "first-blocks")
     seen = first.join(index.blocks.select("segment", "term", "bucket", "postings"), ["segment", "term", "bucket"])
     seen = index.alive(seen.select(*who, "segment", "idf", "avgdl", F.explode("postings").alias("p")).select(*who, "segment", "idf", "avgdl", "p.*"))
     partial = seen.groupBy(*who, "node_id").agg(F.sum(_weight(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
@@ -173,28 +190,124 @@ def bm25_plan(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float
     return terms_, each.withColumn("read", F.col("essential") & (F.col("bound") + F.col("all") - F.col("limit") >= F.col("least")))
 
 
+def _terms_of(asked: DataFrame) -> DataFrame:
+    return asked.select("query_id", "variant_no", F.explode(F.array_distinct(terms(F.col("variant")))).alias("term"))
+
+
 def _wanted(index: Postings | Blocks, asked: DataFrame) -> DataFrame:
-    terms_ = asked.select("query_id", "variant_no", F.explode(F.array_distinct(terms(F.col("variant")))).alias("term"))
-    return terms_.join(bm25_stats(index), "term")
+    return _terms_of(asked).join(bm25_stats(index), "term")
 
 
-def bm25_pruned(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The rows of ``bm25``, from the blocks that ``bm25_plan`` leaves."""
-    who = ["query_id", "variant_no"]
-    terms_, planned = bm25_plan(index, asked, k, k1, b)
-    where = ["segment", "term", "bucket"]
-    stored = index.blocks.select(*where, "postings")
-    read = planned.filter("read").select(*who, *where, "idf", "avgdl").join(stored, where)
-    read = index.alive(read.select(*who, "segment", "idf", "avgdl", F.explode("postings").alias("p")).select(*who, "segment", "idf", "avgdl", "p.*"))
-    got = read.select(*who, "segment", "node_id", _weight(F.col("tf"), F.col("dl"), k1, b).alias("part"))
-    # Terms that aren't essential: only the block that could hold a found node, and there only its posting.
+def bm25_pruned(index: Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, settle: Callable[[DataFrame, str], DataFrame] = lazily) -> DataFrame:
+    """The rows of ``bm25``, from the blocks that ``bm25_plan`` leaves.
+
+    A block is read once, however many queries want it, and tiles keep the nodes that may still be among the best. Terms
+    that aren't essential are then looked up where these nodes' postings lie: a second product has whole scores for them,
+    and for others at most their scores.
+    """
+    who, where = ["query_id", "variant_no"], ["segment", "term", "bucket"]
+    terms_, planned = bm25_plan(index, asked, k, k1, b, settle)
+    terms_, wanted = settle(terms_, "limits"), settle(planned.filter("read").select(*where).distinct(), "read")
+
+    def postings(keys: DataFrame) -> DataFrame:
+        read = index.blocks.join(keys, where, "left_semi")
+        return index.alive(read.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
+
+    sizes = (asked.count(), _n_docs(index))
+    # What a node must have by essential terms alone: the others' bounds together are the largest ``below`` among them.
+    rest = F.coalesce(F.max(F.when(~F.col("essential"), F.col("below"))), F.lit(0.0))
+    essential = terms_.groupBy(*who).agg(F.collect_list(F.when(F.col("essential"), F.struct("term", "idf"))).alias("terms"), F.first("avgdl").alias("avgdl"), rest.alias("rest"), F.first("least").alias("least"))
+    found = settle(_tiles(essential, postings(wanted), sizes, k, k1, b, True), "found")
+    low = top(found, k).groupBy(*who).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("low"))
+    found = found.join(settle(low.join(essential.select(*who, "rest"), who), "lowest"), who).filter(F.col("score") + F.col("rest") >= F.col("low") - SLACK)
     levels = index.blocks.select("segment", "term", "level").distinct()
-    others = terms_.filter("NOT essential").select(*who, "term", "idf", "avgdl").join(levels, "term")
-    sought = got.select(*who, "segment", "node_id").distinct().join(others, [*who, "segment"]).withColumn("bucket", bucket_of(F.col("node_id"), F.col("level")))
-    hit = sought.join(stored, where).withColumn("p", F.get(F.filter("postings", lambda p: p["node_id"] == F.col("node_id")), F.lit(0))).filter("p IS NOT NULL")
-    more = hit.select(*who, "segment", "node_id", _weight(F.col("p.tf"), F.col("p.dl"), k1, b).alias("part"))
-    scores = got.unionByName(more).groupBy(*who, "node_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    return top(scores, k)
+    others = terms_.filter("NOT essential").select(*who, "term").join(levels, "term")
+    sought = found.select(*who, "node_id").join(others, who).select("segment", "term", bucket_of(F.col("node_id"), F.col("level")).alias("bucket"))
+    needed = settle(sought.unionByName(wanted).distinct(), "needed")
+    every = terms_.groupBy(*who).agg(F.collect_list(F.struct("term", "idf")).alias("terms"), F.first("avgdl").alias("avgdl"))
+    every = every.select("*", F.lit(0.0).alias("rest"), F.lit(0.0).alias("least"))
+    return top(_tiles(every, postings(needed), sizes, k, k1, b), k)
+
+
+def _n_docs(index: Postings | Blocks) -> int:
+    row = index.totals.select("n_docs").first()
+    return row.n_docs if row else 0
+
+
+def _tiles(asked: DataFrame, postings: DataFrame, sizes: tuple[int, int], k: int, k1: float, b: float, partial: bool = False) -> DataFrame:
+    """(query_id, variant_no, node_id, score): a tile's k best nodes for each of its queries, rounded.
+
+    ``asked`` is (query_id, variant_no, terms: term and idf, avgdl, rest, least), ``postings`` (term, node_id, tf, dl). A node's
+    postings are one row, sent once for each block of queries; ``sizes`` are the numbers of queries and nodes, about. With ``partial`` scores lack up to ``rest``: then all
+    nodes are kept, unrounded, that can reach both ``least`` and the k-th partial score of their tile.
+    """
+    queries, nodes = (max(1, -(-n // block)) for n, block in zip(sizes, (ASKED_BLOCK, NODE_BLOCK)))
+
+    def dealt(side: DataFrame, own: str, ids: list[str], blocks: int, other: str, others: int) -> DataFrame:
+        number = F.pmod(F.xxhash64(*ids), F.lit(blocks)).cast("int")
+        return side.withColumn(own, number).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    each = F.col("terms")
+    left = asked.select("query_id", "variant_no", each["term"].alias("terms"), each["idf"].alias("idfs"), "avgdl", "rest", "least")
+    left = dealt(left, "query_block", ["query_id", "variant_no"], queries, "node_block", nodes)
+    listed = F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl")))
+    right = postings.groupBy("node_id").agg(listed.alias("p"))
+    right = right.select("node_id", F.col("p")["term"].alias("terms"), F.col("p")["tf"].alias("tfs"), F.col("p")["dl"].alias("dls"))
+    right = dealt(right, "node_block", ["node_id"], nodes, "query_block", queries)
+    tile = ["query_block", "node_block"]
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_term_tile(k, k1, b, partial), HIT)
+
+
+def _term_tile(k: int, k1: float, b: float, partial: bool):
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64())
+
+    def flat(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
+        """The row of each element of a list column, and the elements."""
+        lists = table.column(column).combine_chunks()
+        return pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+
+    def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and rows.num_rows:
+            at, words = flat(asked, "terms")
+            idf, known = flat(asked, "idfs")[1].to_numpy(), words.unique()
+            term = pc.index_in(words, known).to_numpy()
+            by_term = np.argsort(term, kind="stable")
+            wanted = np.split(by_term, np.cumsum(np.bincount(term, minlength=len(known)))[:-1]) if len(known) else []
+            doc, words = flat(rows, "terms")
+            tf, dl = (flat(rows, c)[1].to_numpy() for c in ("tfs", "dls"))
+            own = pc.fill_null(pc.index_in(words, known), -1).to_numpy()
+            used = np.flatnonzero(own >= 0)
+            weight = tf[used] / (tf[used] + k1 * (1 - b + b * dl[used] / asked.column("avgdl")[0].as_py()))
+            # A node that several rows name has a term more than once: such weights are added up first.
+            key = own[used].astype(np.int64) * rows.num_rows + doc[used]
+            order = np.argsort(key, kind="stable")
+            key, weight = key[order], weight[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            key, weight = key[first], np.add.reduceat(weight, first) if len(first) else weight
+            own, doc = key // rows.num_rows, key % rows.num_rows
+            ends = np.searchsorted(own, np.arange(len(known) + 1))
+            got = np.zeros((asked.num_rows, rows.num_rows))
+            for t, who in enumerate(wanted):
+                a, z = ends[t], ends[t + 1]
+                if a < z:
+                    got[at[who][:, None], doc[a:z]] += idf[who][:, None] * weight[a:z]
+            held = got > 0  # also where it rounds to 0
+            if not partial:
+                got = np.round(got, 9)
+            names = rows.column("node_id").to_pylist()
+            cut = max(0, len(names) - k)
+            least = np.partition(got, cut, axis=1)[:, cut]
+            if partial:
+                rest = asked.column("rest").to_numpy()
+                least = np.maximum(least, asked.column("least").to_numpy()) - rest - SLACK
+            for q, v, scores, held_, low in zip(asked.column("query_id").to_pylist(), asked.column("variant_no").to_pylist(), got, held, least):
+                best = [(-float(scores[i]), names[i]) for i in np.flatnonzero((scores >= low) & held_)]
+                # All that tie with the k-th stand for the choice by node_id.
+                out += [(q, v, name, -s) for s, name in (best if partial else sorted(best)[:k])]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["query_id", "variant_no", "node_id", "score"])
+
+    return search
 
 
 def bm25_stats(index: Postings | Blocks) -> DataFrame:
@@ -204,9 +317,18 @@ def bm25_stats(index: Postings | Blocks) -> DataFrame:
     return index.frequencies.join(F.broadcast(index.totals)).withColumn("idf", idf)  # one row
 
 
-def bm25(index: Postings | Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best nodes for each of ``asked`` (query_id, variant_no, variant), by distinct query terms."""
+def bm25(index: Postings | Blocks, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, settle: Callable[[DataFrame, str], DataFrame] = lazily) -> DataFrame:
+    """The k best nodes for each of ``asked`` (query_id, variant_no, variant), by distinct query terms.
+
+    A tiled product like ``knn``: of the postings only those of asked terms are dealt, once for each block of queries, and
+    hits of a query and a node meet in a tile, not in a shuffle.
+    """
     if isinstance(index, Blocks):
-        return bm25_pruned(index, asked, k, k1, b)
-    hits = _wanted(index, asked).join(index.postings, "term").groupBy("query_id", "variant_no", "node_id")
-    return top(hits.agg(F.round(F.sum(_weight(F.col("tf"), F.col("dl"), k1, b)), 9).alias("score")), k)
+        return bm25_pruned(index, asked, k, k1, b, settle)
+    # The semi join is pushed below the counting, so that only asked terms are counted.
+    own = settle(_terms_of(asked).select("term").distinct(), "terms")
+    postings = settle(index.postings.join(own, "term", "left_semi"), "asked-postings")
+    wanted = settle(_wanted(replace(index, frequencies=term_frequencies(postings)), asked), "wanted")
+    queries = wanted.groupBy("query_id", "variant_no").agg(F.collect_list(F.struct("term", "idf")).alias("terms"), F.first("avgdl").alias("avgdl"))
+    queries = queries.select("*", F.lit(0.0).alias("rest"), F.lit(0.0).alias("least"))
+    return top(_tiles(queries, postings, (asked.count(), _n_docs(index)), k, k1, b), k)

@@ -55,7 +55,7 @@ def keyword_index(spark: SparkSession, d: str) -> retrieve.Postings:
 
 def engine(spark: SparkSession, d: str) -> HybridEngine:
     embedder = HashedEmbedder()
-    return HybridEngine(nodes(spark, d), keyword_index(spark, d), embedder, S)
+    return HybridEngine(nodes(spark, d), keyword_index(spark, d), embedder, S, settle=scratch.written)
 
 
 # SQL building blocks: the same definitions, for DuckDB.
@@ -184,7 +184,7 @@ def bm25_stats(spark, d):
 
 @query(with_(NODES, ASKED, POSTINGS, BM25, then="SELECT query_id, variant_no, node_id, rank::INT AS rank, round(score, 6) AS score FROM keywords"))
 def bm25_topk(spark, d):
-    got = retrieve.bm25(keyword_index(spark, d), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k)
+    got = retrieve.bm25(keyword_index(spark, d), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k, settle=scratch.written)
     return got.select("query_id", "variant_no", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -194,9 +194,9 @@ def bm25_blocks(spark, d):
     flat = keyword_index(spark, d)
     postings = scratch.written(flat.postings, "postings")
     frequencies = scratch.written(retrieve.term_frequencies(postings), "frequencies")
-    blocks = scratch.written(retrieve.in_blocks(postings, frequencies), "blocks")
+    blocks = scratch.written(retrieve.in_blocks(postings, frequencies, settle=scratch.written), "blocks")
     totals = scratch.written(flat.totals, "totals")
-    got = retrieve.bm25(retrieve.Blocks(blocks, frequencies, totals), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k)
+    got = retrieve.bm25(retrieve.Blocks(blocks, frequencies, totals), retrieve.variants(asked(spark, d), [SUFFIX]), S.bm25_k, settle=scratch.written)
     return got.select("query_id", "variant_no", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -460,9 +460,9 @@ def _golden(spark, d):
 
 
 def _evaluated(spark, d):
-    golden = _golden(spark, d)
+    golden = scratch.written(_golden(spark, d), "golden")
     one = golden.select("query_id", F.lit(0).alias("variant_no"), F.col("query").alias("variant"))
-    found = retrieve.bm25(keyword_index(spark, d), one, 5)
+    found = retrieve.bm25(keyword_index(spark, d), one, 5, settle=scratch.written)
     return evaluate.metrics(found.select("query_id", "rank", F.element_at(F.split("node_id", "/"), -1).alias("file")), golden, 5)
 
 

@@ -24,10 +24,12 @@ class HybridEngine:
     """``chunks`` has node_id, file_name, file_path, text, embedding (and text_embedding where re-ranking should use another).
 
     Chunks without vectors are embedded when they are searched: each once for the vector search, and the few candidates again for the score.
+    ``settle`` (``sources.scratch.written``) is given the retrievers' lists and the candidates, which are small and used several times: as
+    written tables they have a known size, so that the texts they are joined with aren't shuffled, and no search runs twice.
     """
 
-    def __init__(self, chunks: DataFrame, postings: Postings | Blocks, embedder: Embedder, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None):
-        self.chunks, self.postings, self.embedder, self.settings, self.cross_encoder = chunks, postings, embedder, settings, cross_encoder
+    def __init__(self, chunks: DataFrame, postings: Postings | Blocks, embedder: Embedder, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None, settle: Callable[[DataFrame, str], DataFrame] = retrieve.lazily):
+        self.chunks, self.postings, self.embedder, self.settings, self.cross_encoder, self.settle = chunks, postings, embedder, settings, cross_encoder, settle
 
     @classmethod
     def over(cls, index, settings: Settings = Settings(), cross_encoder: CrossEncoder | None = None) -> HybridEngine:
@@ -42,8 +44,8 @@ class HybridEngine:
         """(ranked, lists) of the three retrievers for every variant; the vectors are scanned once, for the wide list."""
         s = self.settings
         asked = with_embedding(retrieve.variants(queries, s.suffixes), self.embedder, text="variant")
-        wide = retrieve.knn(self.vectors(), asked, s.wide_k)
-        keywords = retrieve.bm25(self.postings, asked, s.bm25_k, s.bm25_k1, s.bm25_b)
+        wide = self.settle(retrieve.knn(self.vectors(), asked, s.wide_k), "wide")
+        keywords = self.settle(retrieve.bm25(self.postings, asked, s.bm25_k, s.bm25_k1, s.bm25_b, self.settle), "keywords")
         return fuse.ranked_lists(wide, keywords, s.narrow_k), fuse.list_weights(asked, s.original_weight)
 
     def candidates(self, queries: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ class HybridEngine:
         """Candidates with their texts and the final score."""
         second = next((c for c in ("text_embedding", "embedding") if c in self.chunks.columns), None)
         vector = [F.col(second).alias("node_vector")] if second else []
-        found = self.candidates(queries).join(self.chunks.select("node_id", "file_name", "file_path", "text", *vector), "node_id")
+        found = self.settle(self.candidates(queries), "candidates").join(self.chunks.select("node_id", "file_name", "file_path", "text", *vector), "node_id")
         if not second and not self.cross_encoder:
             found = with_embedding(found, self.embedder, into="node_vector")
         if self.cross_encoder:

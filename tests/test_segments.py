@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import time
 
 import numpy as np
@@ -224,6 +225,45 @@ def test_frequent_terms_are_mostly_skipped(spark):
     assert rows(retrieve.bm25(blocks, asked, 3)) == rows(retrieve.bm25(flat, asked, 3))
 
 
+def test_hits_meet_in_tiles(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [(f"n{i % 150}", None if i == 7 else " ".join(r.choices("abcdefghij", range(1, 11), k=r.randint(0, 12)))) for i in range(200)]  # 50 nodes have two texts
+    asked = [(i, i % 2, " ".join(r.choices("abcdefghijkl", k=3))) for i in range(30)]
+    dl, tf = {}, {}
+    for node, text in texts:
+        words = (text or "").split()
+        for w in words:
+            tf[w, node, len(words)] = tf.get((w, node, len(words)), 0) + 1
+    df = {w: sum(x[0] == w for x in tf) for w, _, _ in tf}
+    mean, want = sum(len((t or "").split()) for _, t in texts) / 200, set()
+    for q, v, text in asked:
+        scores = {}
+        for w in set(text.split()) & set(df):
+            idf = np.log(1 + (200 - df[w] + 0.5) / (df[w] + 0.5))
+            for (t, node, n), f in tf.items():
+                if t == w:
+                    scores[node] = scores.get(node, 0) + idf * f / (f + 1.5 * (0.25 + 0.75 * n / mean))
+        best = sorted((-round(s, 9), node) for node, s in scores.items())[:4]
+        want |= {(q, v, node, rank + 1) for rank, (_, node) in enumerate(best)}
+    flat = build_postings(spark.createDataFrame(texts, "node_id string, text string"))
+    blocks = retrieve.Blocks(retrieve.in_blocks(flat.postings, flat.frequencies, size=8), flat.frequencies, flat.totals)
+    queries = spark.createDataFrame(asked, "query_id long, variant_no int, variant string")
+    for sizes in ((1024, 4096), (7, 40)):
+        monkeypatch.setattr(retrieve, "ASKED_BLOCK", sizes[0])
+        monkeypatch.setattr(retrieve, "NODE_BLOCK", sizes[1])
+        for index in (flat, blocks):
+            got = retrieve.bm25(index, queries, 4)
+            assert {(x.query_id, x.variant_no, x.node_id, x["rank"]) for x in got.collect()} == want
+    # Nothing is grouped by query and node: such rows are the product of both.
+    plan = retrieve.bm25(flat, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and not re.search(r"Aggregate \[query_id#\d+L?, variant_no#\d+, node_id#", plan)
+
+
+def test_a_text_is_cut_into_terms_once(spark):
+    plan = build_postings(spark.createDataFrame([("n", "a b a")], "node_id string, text string")).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Repartition" in plan
+
+
 def test_tiles_of_vectors(spark):
     r = np.random.default_rng(4)
     data, queries = r.normal(size=(300, 8)).round(1), r.normal(size=(50, 8)).round(1)
