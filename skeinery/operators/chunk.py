@@ -9,15 +9,24 @@ from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.functions.text import content_hash, is_code_file
 from skeinery.operators.chunk_code import chunk_code
 
+#: Rows and bytes that go to a Python worker at once; whole texts are rows, so this bounds what a worker holds.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Spark reads these two settings when the result is run, so they stay set in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def pieces_of(text: str, budget: int) -> list[str]:
     """The text cut between lines: each piece takes lines while they fit, at least one; a last piece of white space alone is dropped.
 
@@ -37,6 +46,7 @@ def pieces_of(text: str, budget: int) -> list[str]:
 
 def line_pieces(df: DataFrame, budget: int = 3200, text: str = "text") -> DataFrame:
     """``df`` with piece_no and piece: lines joined while they fit, with their newlines; a line over the budget stays whole."""
+    bounded_batches(df.sparkSession)
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -92,6 +102,7 @@ def chunks(files: DataFrame, size: int = 800, overlap: int = 150, max_chars: int
 
     Every chunk carries its file's hash, which isn't part of what is embedded.
     """
+    bounded_batches(files.sparkSession)
     stamped = files.select("file_path", "file_name", content_hash(F.col("text")).alias("file_hash"), "text", is_code_file(F.col("file_name")).alias("code"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +95,13 @@ def test_routing(spark):
     got = {(r.file_path, r.type_name): r for r in chunk.chunks(files).collect()}
     assert set(got) == {("a/x.cs", "Login"), ("a/y.cs", None), ("z.sln", None)}
     assert len({r.node_id for r in got.values()}) == 3 and got["z.sln", None].text == "One. Two."
+
+
+def test_workers_hold_bounded_batches(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(3000, numPartitions=1).select(F.concat("id", F.lit(".txt")).alias("file_path"), F.repeat(F.lit("One two. "), 20).alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert chunk.line_pieces(texts, 50).count() == chunk.chunks(texts.withColumn("file_name", F.col("file_path"))).count() == 3000
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(x.n for x in sizes) <= chunk.BATCH_ROWS
