@@ -92,10 +92,23 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     in_scope(path, keep)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is run within go when it has ended, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def spare(columns: list[str], stem: str) -> str:
     """A column name that none of ``columns`` has."""
     taken = {c.lower() for c in columns}

@@ -60,7 +60,11 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The unsigned fingerprint: a bit is 1 if it is set in over half of the hashes."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes; 0 of none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -1,14 +1,17 @@
-"""Near-dedup by a similarity: an inverted index over shingles with count filtering, exact at a Jaccard similarity of 0.8.
+"""SimHash near-dedup with verification, exact at a Jaccard similarity of 0.8.
 
-Fingerprints of bits can't stand in for a similarity: two texts at 0.8 may differ in any number of them. So the index holds
+Texts meet through their fingerprints first: ``simhash.links`` files these by byte position, tallies the positions that two share
+and keeps those in few bits; the texts behind them are verified by their shingles. Fingerprints alone can't stand in for a
+similarity: two texts at 0.8 may differ in any number of bits. So the links that no distance guarantees come from a second
+inverted index with count filtering, which holds
 the shingles' hashes themselves, and of each text only so many of the smallest that a guaranteed number must be
 shared: at a similarity of t, two sets share at least t of the larger, and 2t / (1 + t) of the smaller, so of the larger one
 the first n - tn and of the smaller one the first n - 2tn / (1 + t), plus two, hold the two smallest shared ones. Postings that
 a pair shares are tallied, pairs with the guaranteed two (of small sets: one) are retained and verified.
 
 A list of over ``most`` texts (a passage or a template that many share) emits no pairs. The texts of such lists are filed
-again, now ordered by how many of them have a shingle, rarest first: what many share comes last and isn't indexed, unless
-it is nearly all of a text. Lists that are long even so are of texts that are nearly the same. Such a list's texts are
+again, now with the shingles that over ``most`` of them have at the end, rarest first: what many share isn't indexed, unless
+it is nearly all of a text. Where the others come among themselves doesn't matter, as their lists are short. Lists that are long even so are of texts that are nearly the same. Such a list's texts are
 verified against a few leaders, which mostly connects it; those that stay outside its largest component are compared
 with the texts of other components in it. No link is lost.
 
@@ -22,15 +25,16 @@ other columns don't matter.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinery.llm import simhash
-from skeinery.llm._common import bounded_batches, materialise, scratch_scope
+from skeinery.llm._common import NULL_ID, bounded_batches, materialise, scratch_scope
 from skeinery.llm.graph import connected_components
 
 SEED = 42
@@ -40,6 +44,9 @@ MOST = 16
 LEADERS = 3
 #: Shared postings that are guaranteed for sets of at least ``MANY``; smaller ones share one.
 SHARED, MANY = 2, 10
+#: Parts of the shingles of long lists that are counted one after the other, so that one part's shuffle is on the disk at a time.
+PASSES = 6
+
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     """Distinct shingle hashes, ascending."""
@@ -59,33 +66,37 @@ def indexed(n: int, similarity: float) -> tuple[int, int]:
 
 
 def _signed(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, text_hash, node, size, first (the indexed shingles) and early (how many count in the smaller set) for each row."""
+    """doc_id, text_hash, node, fp, size, first (the indexed shingles) and early (how many count in the smaller set) for each row."""
     bounded_batches(docs.sparkSession)
 
-    @F.arrow_udf("struct<node: bigint, size: int, early: int, first: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, fp: bigint, size: int, early: int, first: array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
         texts = texts.to_pylist()
         nodes = np.array([_node(t) for t in texts], np.uint64).view(np.int64)
-        sets = [shingle_set(t, words) for t in texts]
+        hashes = [simhash.shingle_hashes(t, words) for t in texts]
+        fps = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+        sets = [np.unique(h) for h in hashes]
         sizes = [indexed(len(s), similarity) for s in sets]
         first = [s[:p].view(np.int64) for s, (p, _) in zip(sets, sizes)]
-        columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([e for _, e in sizes], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(columns, ["node", "size", "early", "first"])
+        columns = [pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array([e for _, e in sizes], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["node", "fp", "size", "early", "first"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sign("text").alias("s")).select("doc_id", "text_hash", "s.*")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """A written table (node, shingles) of ``nodes`` (node, at: doc_id and text_hash of a row)."""
+    """A written table (node, hot, n_first, n_early, shingles) of ``nodes`` (node, hot, n_first, n_early, at: doc_id and text_hash of a row)."""
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<bigint>")
     def cut(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    at = nodes.select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"))
-    rows = docs.select("doc_id", "text").join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return materialise(rows.dropDuplicates(["node"]).select("node", cut("text").alias("shingles")), "sets")
+    # Equal ids and hashes are equal texts, so a null id needs no key of its own; rows are dealt once, for the join and for what repeats.
+    known = lambda c: F.coalesce(c, F.lit(NULL_ID))
+    at = nodes.select("node", "hot", "n_first", "n_early", known("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"))
+    rows = docs.select("text", known(F.col("doc_id").cast("long")).alias("_id"), F.xxhash64("text").alias("_hash")).join(at, ["_id", "_hash"])
+    return materialise(rows.dropDuplicates(["_id", "_hash"]).select("node", "hot", "n_first", "n_early", cut("text").alias("shingles")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -98,8 +109,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _lists(postings: DataFrame) -> DataFrame:
     """A written table of ``postings`` (key, ...) with ``of``, the length of their list, where it is over one."""
-    counts = materialise(postings.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1"), "list-sizes")
-    return materialise(postings.join(counts, "key"), "lists")
+    with scratch_scope(postings.sparkSession):
+        counts = materialise(postings.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1"), "list-sizes")
+        return materialise(postings.join(counts, "key"), "lists", keep=True)
 
 
 def _pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
@@ -117,34 +129,55 @@ def _tallied(lists: DataFrame, similarity: float) -> DataFrame:
     return materialise(tally.filter(F.col("shared") >= F.when(F.col("smaller") >= MANY, SHARED).otherwise(1)).select("u", "v"), "tallied")
 
 
-def _rarest_first(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Postings (key, node, size, early, at) of ``nodes`` (node, size, n_first, n_early), whose shingles are ordered by how many of these nodes have them.
+def by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """A written table of the pairs (u, v) of the nodes of ``distinct`` (node, fp, ...) that meet through their fingerprints.
+
+    A fingerprint's smallest node meets the fingerprint's others, and that of each fingerprint that ``simhash.links`` links to it.
+    """
+    with scratch_scope(distinct.sparkSession):
+        firsts = materialise(distinct.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+        a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in ("u", "v"))
+        near = simhash.links(firsts.select("fp")).join(a, "u").join(b, "v").select("first_u", "first_v")
+        same = distinct.select("node", "fp").join(firsts, "fp").filter("node != first").select(F.col("first").alias("first_u"), F.col("node").alias("first_v"))
+        pairs = near.unionByName(same).select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+        return materialise(pairs, "by-fingerprint", keep=True)
+
+
+def _rarest_first(sets: DataFrame, most: int) -> DataFrame:
+    """A written table of postings (key, node, size, early, at) of ``sets`` (node, n_first, n_early, shingles), ordered anew.
 
-    Those that one node alone has come first and find nobody, so they are only counted.
+    Shingles that over ``most`` of these nodes have come last, rarest first; the others stay in their order.
     """
-    each = materialise(nodes.join(sets, "node").select("node", "size", "n_first", "n_early", F.explode("shingles").alias("key")), "shingles-of-long-lists")
-    among = materialise(each.groupBy("key").agg(F.count("*").alias("among")).filter("among > 1"), "shingle-counts")
-    own = Window.partitionBy("node")  # one text's shingles
-    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("among", "key")) - 1
-    ranked = each.join(among, "key").withColumn("at", at).filter(F.col("at") < F.col("n_first"))
-    return materialise(ranked.select("key", "node", "size", (F.col("at") < F.col("n_early")).alias("early"), "at"), "postings-again")
+    with scratch_scope(sets.sparkSession):
+        keys = sets.select(F.explode("shingles").alias("key"))
+        parts = [keys.filter(F.pmod("key", F.lit(PASSES)) == i).groupBy("key").agg(F.count("*").alias("among")) for i in range(PASSES)]
+        among = reduce(DataFrame.unionByName, [materialise(x.filter(F.col("among") > most), "frequent") for x in parts])
+        own = sets.select("node", F.explode("shingles").alias("key")).join(among, "key").groupBy("node")
+        own = materialise(own.agg(F.array_sort(F.collect_list(F.struct("among", "key"))).alias("frequent")), "frequent-by-node")  # one text's shingles
+        last = F.coalesce(F.col("frequent.key"), F.array().cast("array<long>"))
+        order = F.slice(F.concat(F.array_except("shingles", last), last), F.lit(1), F.col("n_first"))
+        filed = sets.join(own, "node", "left").select("node", F.size("shingles").alias("size"), "n_early", F.posexplode(order).alias("at", "key"))
+        return materialise(filed.select("key", "node", "size", (F.col("at") < F.col("n_early")).alias("early"), "at"), "postings-again", keep=True)
 
 
 def links(docs: DataFrame, distinct: DataFrame, words: int = 5, similarity: float = 0.8, most: int = MOST) -> DataFrame:
-    """(u, v) between the nodes of ``distinct`` (node, at, size, early, first), enough to connect all whose similarity is at least that."""
+    """(u, v) between the nodes of ``distinct`` (node, at, fp, size, early, first), enough to connect all whose similarity is at least that."""
+    near = by_fingerprint(distinct)
     postings = distinct.select("node", "size", F.col("early").alias("n_early"), F.posexplode("first").alias("at", "key"))
-    lists = _lists(materialise(postings.select("key", "node", "size", (F.col("at") < F.col("n_early")).alias("early")), "postings"))
-    pairs = _tallied(lists.filter(F.col("of") <= most), similarity)
+    lists = _lists(postings.select("key", "node", "size", (F.col("at") < F.col("n_early")).alias("early")))
+    pairs = materialise(near.unionByName(_tallied(lists.filter(F.col("of") <= most), similarity)).distinct(), "candidates")
     hot = materialise(lists.filter(F.col("of") > most).select("node").distinct(), "long")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-    sets = _sets(docs, distinct.select("node", "at").join(ends.unionByName(hot).distinct(), "node"), words)
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.lit(False).alias("hot")).unionByName(hot.select("node", F.lit(True).alias("hot")))
+    needed = needed.groupBy("node").agg(F.bool_or("hot").alias("hot"))
+    nodes = distinct.select("node", "at", F.size("first").alias("n_first"), F.col("early").alias("n_early")).join(needed, "node")
+    sets = _sets(docs, nodes, words)
     found = _verified(pairs, sets, similarity)
     if hot.isEmpty():
         return found
 
-    nodes = distinct.join(hot, "node").select("node", "size", F.size("first").alias("n_first"), F.col("early").alias("n_early"))
-    lists = _lists(_rarest_first(nodes, sets))
-    found = found.unionByName(_verified(_tallied(lists.filter(F.col("of") <= most), similarity), sets, similarity))
+    lists = _lists(_rarest_first(sets.filter("hot"), most))
+    again = _tallied(lists.filter(F.col("of") <= most), similarity).join(pairs, ["u", "v"], "left_anti")
+    found = found.unionByName(_verified(again, sets, similarity))
     hot = materialise(lists.filter(F.col("of") > most).drop("of"), "still-long")
     if hot.isEmpty():
         return found
@@ -182,11 +215,14 @@ def _apart(lists: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = MOST) -> DataFrame:
     """doc_id, text_hash, root (the component's smallest node) and component_id, its smallest doc_id."""
-    with scratch_scope(docs.sparkSession):
-        prints = materialise(_signed(docs.select("doc_id", "text"), words, similarity), "signed")
-        best = F.min(F.struct("doc_id", "text_hash")).alias("at")
-        distinct = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), best, *[F.first(c).alias(c) for c in ("size", "early", "first")])
-        distinct = materialise(distinct, "nodes")
+    spark = docs.sparkSession
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            signed = materialise(_signed(docs.select("doc_id", "text"), words, similarity), "signed")
+            prints = materialise(signed.select("doc_id", "text_hash", "node"), "prints", keep=True)
+            best = F.min(F.struct("doc_id", "text_hash")).alias("at")
+            distinct = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), best, *[F.first(c).alias(c) for c in ("fp", "size", "early", "first")])
+            distinct = materialise(distinct, "nodes", keep=True)
         edges = links(docs, distinct, words, similarity, most)
         members = simhash.with_components(distinct.select("node", F.col("first_id").alias("first")), edges, "node")
         result = prints.select("doc_id", "text_hash", "node").join(members, "node").select("doc_id", "text_hash", "root", "component_id")

@@ -176,3 +176,69 @@ def test_partial_components_join_only_what_is_connected(spark):
     assert sorted(got) == [*range(41), *range(100, 130)]
     assert all((node < 100) == (root < 100) for node, root in got.items()) and {got[x] for x in range(100, 130)} == {100}
     assert len({x.root for x in connected_components(edges).collect()}) == 2
+
+
+def long_copies():
+    r = random.Random(6)
+    rows = []
+    for _ in range(5):
+        text = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+        rows += [" ".join(text), " ".join([*text[:-1], "other"])]
+    return list(enumerate(rows))
+
+
+def test_the_stage_links_by_fingerprints(spark, sf, monkeypatch):
+    """Texts in few bits meet and are linked without the index of shingles; those that fingerprints join wrongly are not."""
+    rows = [*long_copies(), (50, "a b c d e"), (51, "A b  c d e f"), (52, "")]
+    tallied, near = similar._tallied, []
+    monkeypatch.setattr(similar, "_tallied", lambda lists, similarity: tallied(lists, similarity).filter("false"))
+    by_fingerprint = similar.by_fingerprint
+
+    def seen(distinct):
+        got = by_fingerprint(distinct)
+        nodes = {r.node: r.fp for r in distinct.collect()}
+        near.extend((nodes[p.u], nodes[p.v]) for p in got.collect())
+        return got
+
+    monkeypatch.setattr(similar, "by_fingerprint", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(x.doc_id for x in dict(P.STAGES)["simhash_near_dedup"](spark, docs, sf).collect())
+    assert kept == [0, 2, 4, 6, 8, 50, 51, 52] and len(near) >= 5
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in near)
+
+    monkeypatch.setattr(similar.simhash, "majority", lambda hashes: 7)  # all meet: what isn't similar is refuted
+    monkeypatch.setattr(similar, "_tallied", tallied)
+    rows = planted()
+    got = similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted({x.component_id for x in got}) == kept_by_brute_force(rows)
+
+
+def test_long_lists_file_no_whole_texts_again(spark, monkeypatch):
+    """Texts that share a passage: no table has a row for each of their shingles."""
+    rows, write = {}, similar.materialise
+
+    def counted(df, tag, keep=False):
+        out = write(df, tag, keep)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "materialise", counted)
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [(i, " ".join(f"a{i}x{j}" for j in range(200)) + " " + passage) for i in range(60)]
+    got = similar.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got.select("component_id").distinct().count() == 60
+    assert rows["postings-again"] and max(rows.values()) <= 60 * similar.indexed(276, 0.8)[0]
+
+
+def test_shuffles_go_with_the_job(spark):
+    """What a written table was shuffled for isn't left on the disk."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {str(files.apply(i).getName()) for i in range(files.size()) if str(files.apply(i).getName()).startswith("shuffle")}
+
+    before = shuffles()
+    with scratch_scope(spark):
+        assert materialise(spark.range(1000).groupBy("id").count(), "shuffled").schema
+        assert not shuffles() - before
