@@ -79,37 +79,31 @@ def grams(text: Column, order: int = ORDER) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(padded, i, F.lit(order + 1))))
 
 
-def log_ratios(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, ratio) for each of ``wanted`` (gram): log P(last | rest) of the accepted less the rejected model.
+#: The models: of the seeds of either fold, and of all.
+FOLDS = {"m0": (0,), "m1": (1,), "m": (0, 1)}
 
-    ``counts`` has (gram, good, bad), full grams. Each order's context sums come from the next longer order's, so
-    tables shrink from step to step; all are bounded by the alphabet.
+
+def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, m0, m1, m) for each gram of ``counts``: log P(last | rest) of the accepted less the rejected model, learnt from either fold and from both.
+
+    ``counts`` has (gram, fold, good, bad), full grams. All orders are one table of suffixes, whose length is the order,
+    and so are the models; both are bounded by the alphabet.
     """
-    out = wanted.select("gram")
-    level = counts
-    probabilities = {}
-    for k in range(order, -1, -1):
-        # level: grams of k context characters and the last one, with their counts.
-        context = F.substring("gram", 1, k)
-        by_context = level.groupBy(context.alias("context")).agg(
-            F.sum("good").alias("good_n"), F.sum("bad").alias("bad_n"), F.count_if(F.col("good") > 0).alias("good_kinds"), F.count_if(F.col("bad") > 0).alias("bad_kinds")
-        )
-        probabilities[k] = (level, by_context)
-        level = level.groupBy(F.substring("gram", 2, order + 1).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    good = bad = F.lit(1.0 / SYMBOLS)
-    for k in range(order + 1):
-        seen, by_context = probabilities[k]
-        own, around = f"_own{k}", f"_context{k}"
-        out = out.withColumn(own, F.substring("gram", order - k + 1, order + 1)).withColumn(around, F.substring("gram", order - k + 1, k))
-        seen = seen.select(F.col("gram").alias(own), F.col("good").alias(f"good{k}"), F.col("bad").alias(f"bad{k}"))
-        by_context = by_context.withColumnRenamed("context", around).toDF(around, *(f"{c}{k}" for c in ("good_n", "bad_n", "good_kinds", "bad_kinds")))
-        out = out.join(seen, own, "left").join(by_context, around, "left")
-        number = lambda c, k=k: F.coalesce(F.col(f"{c}{k}"), F.lit(0)).cast("double")
-        good = _interpolated(number("good"), number("good_n"), number("good_kinds"), good)
-        bad = _interpolated(number("bad"), number("bad_n"), number("bad_kinds"), bad)
-        out = out.withColumns({f"_g{k}": good, f"_b{k}": bad})
-        good, bad = F.col(f"_g{k}"), F.col(f"_b{k}")
-    return out.select("gram", (F.log(good) - F.log(bad)).alias("ratio"))
+    kinds = [(m, k) for m in FOLDS for k in ("good", "bad")]
+    suffixes = F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.substring("gram", F.lit(order + 1) - k, k + 1))
+    own = F.expr("substring(seen, 1, length(seen) - 1)")
+    seen = counts.filter("good > 0 or bad > 0").select("fold", "good", "bad", F.explode(suffixes).alias("seen"))
+    seen = seen.groupBy("seen").agg(*[F.sum(F.when(F.col("fold").isin(*FOLDS[m]), F.col(k)).otherwise(0)).alias(f"{m}_{k}") for m, k in kinds])
+    seen = materialise(seen, "url-suffixes")
+    totals = [f(c).alias(f"{m}_{k}_{name}") for m, k in kinds for c in [F.col(f"{m}_{k}")] for name, f in (("n", F.sum), ("kinds", lambda c: F.count_if(c > 0)))]
+    around = materialise(seen.groupBy(own.alias("context")).agg(*totals), "url-contexts")
+    each = counts.select("gram").distinct().select("gram", F.explode(suffixes).alias("seen")).withColumn("context", own)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    numbers = [F.struct(number(f"{m}_{k}").alias("own"), number(f"{m}_{k}_n").alias("n"), number(f"{m}_{k}_kinds").alias("kinds")).alias(f"{m}_{k}") for m, k in kinds]
+    joined = each.join(seen, "seen", "left").join(around, "context", "left").select("gram", F.struct(F.length("seen").alias("at"), *numbers).alias("level"))
+    levels = joined.groupBy("gram").agg(F.array_sort(F.collect_list("level")).alias("levels"))  # one of each order
+    log = lambda c: F.log(F.aggregate("levels", F.lit(1.0 / SYMBOLS), lambda p, x: _interpolated(x[c]["own"], x[c]["n"], x[c]["kinds"], p)))
+    return levels.select("gram", *[(log(f"{m}_good") - log(f"{m}_bad")).alias(m) for m in FOLDS])
 
 
 def _interpolated(n: Column, total: Column, kinds: Column, shorter: Column) -> Column:
@@ -129,25 +123,16 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, salts: int = SALTS,
     kinds = materialise(kinds.withColumn("fold", F.pmod("t2", F.lit(2)).cast("int")), "url-texts")
     ending = kinds.select("t1", "t2", "fold", "good", "bad", F.explode(grams(F.col("text"), order)).alias("gram"))
     counts = ending.groupBy("gram", "fold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    counts = materialise(counts, "url-grams")
-    tallied = ending.groupBy("t1", "t2", "fold", "gram").agg(F.count("*").alias("n"), F.max((F.col("good") > 0) | (F.col("bad") > 0)).alias("seed"))
-    tallied = materialise(tallied, "url-tallies")
-
-    def means(some: DataFrame, wanted: DataFrame, seeds: DataFrame) -> DataFrame:
-        """(t1, t2, mean) of the texts of ``some``, whose grams are ``wanted``, by the models of ``seeds``."""
-        learnt = seeds.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).filter("good > 0 or bad > 0")
-        ratios = materialise(log_ratios(learnt, wanted.select("gram").distinct(), order), "url-ratios")
-        salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        # Sums of rounded values: the same in any order.
-        each = F.round(F.col("ratio") * 1e6).cast("long") * F.col("n")
-        dealt = some.withColumn("salt", F.pmod("t1", F.lit(salts)))
-        return dealt.join(salted, ["gram", "salt"]).groupBy("t1", "t2").agg((F.sum(each) / F.sum("n") / 1e6).alias("mean"))
-
-    own, other = F.col("fold") == 0, F.col("fold") == 1
-    judged = [means(tallied.filter("seed").filter(x), counts.filter("good > 0 or bad > 0").filter(x), counts.filter(y)) for x, y in ((own, other), (other, own))]
-    limit = threshold(kinds.join(judged[0].unionByName(judged[1]), ["t1", "t2"]).filter("good > 0 or bad > 0"))
-    scored = kinds.join(means(tallied, counts, counts), ["t1", "t2"], "left").select("text", F.coalesce("mean", F.lit(0.0)).alias("mean"))
-    scored = materialise(scored, "url-scores")
+    ratios = materialise(log_ratios(materialise(counts, "url-grams"), order), "url-ratios")
+    salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    tallied = ending.groupBy("t1", "t2", "fold", "gram").agg(F.count("*").alias("n")).withColumn("salt", F.pmod("t1", F.lit(salts)))
+    # Sums of rounded values: the same in any order.
+    total = lambda ratio: F.sum(F.round(ratio * 1e6).cast("long") * F.col("n")) / F.sum("n") / 1e6
+    other = F.when(F.col("fold") == 0, F.col("m1")).otherwise(F.col("m0"))
+    means = tallied.join(salted, ["gram", "salt"]).groupBy("t1", "t2").agg(total(F.col("m")).alias("whole"), total(other).alias("mean"))
+    judged = materialise(kinds.join(means, ["t1", "t2"], "left").select("text", "good", "bad", "mean", F.coalesce("whole", F.lit(0.0)).alias("whole")), "url-scores")
+    limit = threshold(judged.filter("mean is not null and (good > 0 or bad > 0)"))
+    scored = judged.select("text", F.col("whole").alias("mean"))
     joined = rows.join(scored.select(F.col("text").alias(text), F.col("mean").alias(score)), text, "left")
     by_model = F.when(F.coalesce(score, F.lit(0.0)) >= F.lit(limit), "allow").otherwise("block")
     return joined.select(
