@@ -19,8 +19,10 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, filterfalse
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from skeinery.llm._common import bounded_batches, materialise
 WINDOW = 2048
 END_ID = 1
 SALTS = 32
-#: Chunks of text whose ids a worker remembers; forgotten all at once when there are more.
+#: Chunks of text whose ids a worker remembers, in two halves: when one is full, the other is forgotten but for what is asked for again.
 REMEMBERED = 400_000
+#: Runs of punctuation after words whose ids a worker remembers.
+MARKS = 10_000
 #: Characters whose words are in memory at once.
 AT_ONCE = 1 << 20
 _BLANK = re.compile(r"\s")
@@ -48,12 +52,22 @@ def _goes_by_words(tokenizer: dict) -> bool:
     return lowers and drops and tokenizer["model"].get("end_of_word_suffix") == "</w>"
 
 
+def _leaves_letters(tokenizer: dict) -> bool:
+    """Whether lower-case ASCII letters reach the model of a tokenizer that goes by words as they are, a word as one piece."""
+    normal = (tokenizer.get("normalizer") or {}).get("normalizers") or []
+    pre = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    harmless = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x.get("pattern") == {"Regex": r"\s+"} for x in normal)
+    pieces = [x.get("pattern") for x in pre[:1]] == [{"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}]
+    return harmless and pieces and [(x.get("type"), x.get("add_prefix_space")) for x in pre[1:]] == [("ByteLevel", False)]
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, through a memory of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order. A full
-    stop or comma after a letter is a word of its own for it as well. New words of letters alone are encoded together,
-    a thousand at once: each is one token sequence whose last token, and no other, has the end-of-word mark. Texts
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order. A run
+    of punctuation after the letters of a word is a word of its own for it as well. New words of letters alone are encoded together,
+    a thousand at once: each is one token sequence whose last token, and no other, has the end-of-word mark. Those of ASCII
+    letters go to the model without the steps before it, where these would change nothing. Texts
     where this could fail (special tokens' marks, or separators that only Python takes for white space) go to the
     tokenizer whole; so does everything with a tokenizer that isn't of this kind.
     """
@@ -61,12 +75,18 @@ class WordIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.by_words = _goes_by_words(json.loads(self.tokenizer.to_str()))
+        kind = json.loads(self.tokenizer.to_str())
+        self.by_words, self.bare = _goes_by_words(kind), self.tokenizer
+        if self.by_words and _leaves_letters(kind):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
+        self.marks: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,52 +98,71 @@ class WordIds:
         whole = [i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
         for i, ids in zip(whole, self.encode([texts[i] for i in whole]) if whole else []):
             out[i] = ids
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.forget()
         short = [i for i, t in enumerate(texts) if out[i] is None and len(t) <= AT_ONCE]
         split = [texts[i].split() for i in short]
-        self.learn(set().union(*split))
+        self.learn(chain.from_iterable(split))
         for i, words in zip(short, split):
             out[i] = b"".join(map(self.known.__getitem__, words))
         for i, text in enumerate(texts):
             if out[i] is None:
                 parts = []
                 for words in map(str.split, _slices(text)):
-                    if len(self.known) > REMEMBERED:
-                        self.known.clear()
-                    self.learn(set(words))
+                    self.forget()
+                    self.learn(words)
                     parts.append(b"".join(map(self.known.__getitem__, words)))
                 out[i] = b"".join(parts)
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def forget(self) -> None:
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+
+    def unknown(self, words: Iterable[str]) -> set[str]:
+        """Those of ``words`` that aren't in memory; what its older half has moves to the newer one."""
+        new, older = set(filterfalse(self.known.__contains__, words)), self.older
+        if older:
+            again = {w: older[w] for w in new if w in older}
+            self.known.update(again)
+            new.difference_update(again)
+        return new
+
+    def learn(self, words: Iterable[str]) -> None:
         """Have the ids of ``words`` in memory."""
-        known, letters, others, stopped = self.known, {}, [], []
-        for w in words.difference(known):
-            plain = w.lower() if w.isascii() else w
-            stem = plain[:-1] if plain[-1] in ".," else plain
-            # Letters that any version of Unicode's tables knows, so that Python and the tokenizer agree.
-            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                letters[stem] = known.get(stem)
-                stopped.append((w, stem, plain[len(stem) :]))
-            else:
-                others.append(w)
-        new = [s for s, ids in letters.items() if ids is None]
+        known, new = self.known, self.unknown(words)
+        # Letters that any version of Unicode's tables knows, so that Python and the tokenizer agree.
+        ascii_ = [w for w in new if w.isascii()]
+        whole = [w for w in ascii_ if w.isalpha()]
+        stopped = [(w, stem, w[len(stem) :]) for w in ascii_ if (stem := w.rstrip(punctuation)) and len(stem) < len(w) and stem.isalpha()]
+        stems = " ".join(whole).lower().split() + " ".join([stem for _, stem, _ in stopped]).lower().split()
+        self.learn_letters(self.unknown(set(stems)), self.bare)  # they will come again with other marks
+        known.update(zip(whole, map(known.__getitem__, stems)))
+        stopped = [(w, stem, mark) for (w, _, mark), stem in zip(stopped, stems[len(whole) :])]
+        latin = [(w, stem, w[len(stem) :]) for w in new.difference(ascii_) if (stem := w.rstrip(punctuation)).isalpha() and max(stem) < "\u0250"]
+        self.learn_letters(self.unknown({stem for _, stem, _ in latin}), self.tokenizer)
+        stopped += [x for x in latin if x[2]]
+        if len(self.marks) > MARKS:
+            self.marks = {"": b""}
+        marks = list({mark for _, _, mark in stopped}.difference(self.marks))
+        self.marks.update(zip(marks, self.encode(marks)))
+        known.update((w, known[stem] + self.marks[mark]) for w, stem, mark in stopped)
+        others = [w for w in new if w not in known]
+        for at in range(0, len(others), 1000):
+            part = others[at : at + 1000]
+            known.update(zip(part, self.encode(part)))
+
+    def learn_letters(self, words: set[str], tokenizer) -> None:
+        """The same for words of letters alone."""
+        new = list(words)
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(part):
                 data = ids.tobytes()
-                letters.update((w, data[lo:hi]) for w, lo, hi in zip(part, [0, *cuts], cuts))
+                self.known.update((w, data[lo:hi]) for w, lo, hi in zip(part, [0, *cuts], cuts))
             else:
-                letters.update(zip(part, self.encode(part)))
-        for at in range(0, len(others), 1000):
-            part = others[at : at + 1000]
-            known.update(zip(part, self.encode(part)))
-        known.update(letters)  # they will come again with another mark
-        marks = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
-        known.update((w, letters[stem] + marks[mark]) for w, stem, mark in stopped)
+                self.known.update(zip(part, self.encode(part)))
 
 
 @cache

@@ -112,3 +112,31 @@ def test_other_tokenizers_encode_whole_texts():
     ours, theirs, texts = packing.WordIds(path), Tokenizer.from_file(path), ["Hello, World  the\nquick", "", "ab c."]
     assert not ours.by_words and packing.WordIds(PATH).by_words
     assert [np.frombuffer(x, "<u4").tolist() for x in ours(texts)] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_frequent_words_outlast_what_is_forgotten(monkeypatch):
+    """Words that every batch has are encoded once, however often the memory is full."""
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    ids, given = packing.WordIds(PATH), Counter()
+    letters = ids.learn_letters
+
+    def counted(words, tokenizer):
+        given.update(words)
+        letters(words, tokenizer)
+
+    monkeypatch.setattr(ids, "learn_letters", counted)
+    often = ["alpha", "Beta,", "gamma.", "über"]
+    for batch in range(30):
+        names = ["".join(chr(97 + int(d)) for d in str(1000 * batch + i)) + "q" for i in range(1, 120)]
+        texts = [" ".join([*often, *names]), "don't stop... B. X,y"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids(texts)] == [plain(t) for t in texts]
+    assert [given[w] for w in ("alpha", "beta", "gamma", "über")] == [1, 1, 1, 1]
+    assert len(ids.known) + len(ids.older) < 1000
+
+
+def test_lower_case_letters_reach_the_model_as_they_are():
+    assert IDS.bare is not IDS.tokenizer
+    words = ["the", "s", "re", "don", "startoftext", "x" * 300, *("".join(p) for p in zip("qzjxk", "aeiou", "zzzzz"))]
+    assert [i for w in words for i in IDS.bare.encode(w).ids] == [i for w in words for i in plain(w)]
+    kind = {"normalizer": {"normalizers": [{"type": "Replace", "pattern": {"String": "a"}, "content": "b"}]}}
+    assert not packing._leaves_letters(kind) and not packing._leaves_letters({})
