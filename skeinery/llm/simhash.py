@@ -151,9 +151,12 @@ def hex_fingerprint(col):
 def representatives(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:
     """One row of ``docs`` for each component that ``find`` gives: its smallest doc_id (of rows that repeat that, the first by a hash of the text)."""
     plain = list(docs.columns)
-    own, own_hash, at = (spare(plain, x) for x in ("_own", "_text_hash", "_at"))
+    own, none, own_hash, at = (spare(plain, x) for x in ("_own", "_none", "_text_hash", "_at"))
+    keys = [own, none, own_hash]
     first = find(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("root", "doc_id").agg(F.min("text_hash").alias(own_hash)).select(F.col("doc_id").alias(own), own_hash).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(own_hash)), "left_semi")
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    kept = first.groupBy("root", "doc_id").agg(F.min("text_hash").alias(own_hash))
+    # The join and the window have the same keys, none of them null, so that whole texts are dealt once.
+    id_, null = F.coalesce("doc_id", F.lit(0)).alias(own), F.isnull("doc_id").alias(none)
+    rows = docs.select("*", id_, null, F.xxhash64("text").alias(own_hash)).join(kept.select(id_, null, own_hash).distinct(), keys, "left_semi")
+    order = Window.partitionBy(*keys).orderBy("doc_id")
     return rows.withColumn(at, F.row_number().over(order)).filter(F.col(at) == 1).select(*[F.col(f"`{c}`") for c in plain])

@@ -4,9 +4,11 @@ Texts meet through their fingerprints first: ``simhash.links`` files these by by
 and keeps those in few bits; the texts behind them are verified by their shingles. Fingerprints alone can't stand in for a
 similarity: two texts at 0.8 may differ in any number of bits. So the links that no distance guarantees come from a second
 inverted index with count filtering, which holds
-the shingles' hashes themselves, and of each text only so many of the smallest that a guaranteed number must be
-shared: at a similarity of t, two sets share at least t of the larger, and 2t / (1 + t) of the smaller, so of the larger one
-the first n - tn and of the smaller one the first n - 2tn / (1 + t), plus two, hold the two smallest shared ones. Postings that
+the shingles' hashes themselves, and of each text only so many of the first that a guaranteed number must be
+shared. Shingles that a sample of the texts shows to be frequent come last in every text, the others by their hashes; the
+sample only orders them, so whatever it misses costs no link, but lists stay short as tables grow.
+At a similarity of t, two sets share at least t of the larger, and 2t / (1 + t) of the smaller, so of the larger one
+the first n - tn and of the smaller one the first n - 2tn / (1 + t), plus two, hold the first two shared ones. Postings that
 a pair shares are tallied, pairs with the guaranteed two (of small sets: one) are retained and verified.
 
 A list of over ``most`` texts (a passage or a template that many share) emits no pairs. The texts of such lists are filed
@@ -44,6 +46,10 @@ MOST = 16
 LEADERS = 3
 #: Shared postings that are guaranteed for sets of at least ``MANY``; smaller ones share one.
 SHARED, MANY = 2, 10
+#: Shingles that two texts of a sample of one in so many share count as frequent; a table of so many bits (a power of two) marks them.
+SAMPLED, MARKS = 8, 1 << 26
+#: Rows of a table below which no sample is taken: its lists are refined at little cost.
+FEWEST = 2_000
 #: Parts of the shingles of long lists that are counted one after the other, so that one part's shuffle is on the disk at a time.
 PASSES = 6
 
@@ -58,6 +64,17 @@ def _node(text: str | None) -> int:
     return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
 
 
+def _mark(hashes: np.ndarray, marks: int) -> np.ndarray:
+    return (hashes & np.uint64(marks - 1)).astype(np.int64)
+
+
+def marked_last(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """``hashes`` with those that have a mark after the others, each part in its order."""
+    at = _mark(hashes, 8 * len(marks))
+    last = (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return np.concatenate([hashes[~last], hashes[last]])
+
+
 def indexed(n: int, similarity: float) -> tuple[int, int]:
     """How many first shingles of a set of ``n`` are indexed, and how many of these count where it is the smaller of two."""
     more = SHARED if n >= MANY else 1
@@ -65,9 +82,34 @@ def indexed(n: int, similarity: float) -> tuple[int, int]:
     return min(n, n - least + more), min(n, n - of_smaller + more)
 
 
+def frequent_marks(docs: DataFrame, words: int, sampled: int = SAMPLED, marks: int = MARKS) -> np.ndarray:
+    """A bit for each value that a shingle's last bits can have, packed: 1 if shingles with it are in two of the sampled texts or more.
+
+    It only says which shingles are indexed last, the same ones in every text, so neither a mark too many nor one too few loses a link.
+    """
+    out = np.zeros(marks // 8, np.uint8)
+    if docs.count() < FEWEST:
+        return out
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(_mark(shingle_set(t, words), marks)) + 1 for t in texts.to_pylist()], pa.list_(pa.int64()))  # Spark's bitmaps begin at 1
+
+    own = F.xxhash64("text")
+    texts = docs.filter(F.pmod(own, F.lit(sampled)) == 0).groupBy(own.alias("_hash")).agg(F.first("text").alias("text"))  # equal texts count once
+    shared = texts.select(F.explode(cut("text")).alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = shared.groupBy(F.bitmap_bucket_number("mark").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    for at, bits in materialise(parts, "marks").collect():  # at most MARKS bits, whatever the corpus
+        lo = (at - 1) * len(bits)
+        out[lo : lo + len(bits)] = np.frombuffer(bits, np.uint8)[: len(out) - lo]
+    return out
+
+
 def _signed(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """doc_id, text_hash, node, fp, size, first (the indexed shingles) and early (how many count in the smaller set) for each row."""
     bounded_batches(docs.sparkSession)
+    marked = docs.sparkSession.sparkContext.broadcast(frequent_marks(docs, words))
 
     @F.arrow_udf("struct<node: bigint, fp: bigint, size: int, early: int, first: array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
@@ -77,7 +119,7 @@ def _signed(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         fps = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
         sets = [np.unique(h) for h in hashes]
         sizes = [indexed(len(s), similarity) for s in sets]
-        first = [s[:p].view(np.int64) for s, (p, _) in zip(sets, sizes)]
+        first = [marked_last(s, marked.value)[:p].view(np.int64) for s, (p, _) in zip(sets, sizes)]
         columns = [pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array([e for _, e in sizes], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
         return pa.StructArray.from_arrays(columns, ["node", "fp", "size", "early", "first"])
 

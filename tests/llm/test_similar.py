@@ -230,6 +230,63 @@ def test_long_lists_file_no_whole_texts_again(spark, monkeypatch):
     assert rows["postings-again"] and max(rows.values()) <= 60 * similar.indexed(276, 0.8)[0]
 
 
+def test_shared_passages_are_indexed_last(spark, monkeypatch):
+    """Texts that are half passages which many share, but have enough of their own: no list of theirs is long, and their copies are linked."""
+    rows, write = {}, similar.materialise
+
+    def counted(df, tag, keep=False):
+        out = write(df, tag, keep)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "materialise", counted)
+    monkeypatch.setattr(similar, "FEWEST", 0, raising=False)
+    r = random.Random(8)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(4)]
+    texts = []
+    for i in range(300):
+        a, b = r.sample(passages, 2)
+        own = [f"a{i}x{j}" for j in range(200)]
+        texts.append((i, " ".join([*a, *own, *b])))
+        if i % 10 == 0:
+            texts.append((1000 + i, " ".join([*a, *own[:-1], "other", *b])))
+    got = similar.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted({x.component_id for x in got}) == list(range(300))
+    assert rows["long"] == 0
+
+
+@pytest.mark.parametrize("marks", [[], range(64), range(0, 64, 3)])
+def test_any_marks_give_the_same_rows(spark, monkeypatch, marks):
+    """Marks only order the index: none, all and arbitrary ones lose no link."""
+    table = similar.np.packbits(similar.np.isin(similar.np.arange(64), list(marks)), bitorder="little")
+    monkeypatch.setattr(similar, "frequent_marks", lambda docs, words: table)
+    rows = planted()
+    got = similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=3).collect()
+    assert sorted({x.component_id for x in got}) == kept_by_brute_force(rows)
+
+
+def test_marks_are_of_shingles_that_two_sampled_texts_share(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FEWEST", 0)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d e f"), (3, "a b c d e f"), (4, "k l m n o p"), (5, None)], "doc_id long, text string")
+    marks = similar.np.flatnonzero(similar.np.unpackbits(similar.frequent_marks(docs, 5, sampled=1), bitorder="little"))
+    assert marks.tolist() == [int(similar.shingle_set("b c d e f")[0]) % similar.MARKS]
+    assert not similar.frequent_marks(docs.filter("false"), 5).any()
+
+
+def test_whole_texts_are_dealt_once_for_the_rows_that_stay(spark):
+    """The window takes its rows from the join, with no shuffle between; null ids and repeated rows stay apart."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "q r s t u v"), (0, "g h i j k l"), (None, "g h i j k l")], "doc_id long, text string")
+        got = similar.simhash.representatives(docs, similar.near_duplicates)
+        plan = str(got._jdf.queryExecution().executedPlan().toString())
+        assert sorted(got.collect(), key=str) == sorted([(1, "a b c d e f"), (None, "q r s t u v"), (0, "g h i j k l")], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "Exchange" not in plan[plan.index("Window") : plan.index("SortMergeJoin")]
+
+
 def test_shuffles_go_with_the_job(spark):
     """What a written table was shuffled for isn't left on the disk."""
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
