@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skeinery.llm import best_fit, queries
+from skeinery.llm import best_fit, byte_tokens, queries
 from skeinery.llm.byte_tokens import PieceIds, slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,21 @@ def test_special_tokens_mark_and_long_texts():
     assert list(slices("x" * 3_000_000)) == ["x" * 3_000_000]  # nowhere to cut
 
 
+def test_words_in_use_stay_in_memory_and_few_strings_are_encoded(monkeypatch):
+    monkeypatch.setattr(byte_tokens, "REMEMBERED", 400)
+    ids, strings = PieceIds(PATH), []
+    encode = ids.encode
+    monkeypatch.setattr(ids, "encode", lambda texts: strings.extend(texts) or encode(texts))
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    common = " ".join("common" + letters(i) for i in range(100, 150))
+    for k in range(40):
+        rare = [f"{letters(1000 * (k + 1) + i)}{end}" for i, end in enumerate(["", ".", ",\nNext", "é", ".)", "'s"] * 8)]
+        text = f"{common} {' '.join(rare)}\nLine{letters(k)} {rare[0]} end"
+        assert np.frombuffer(ids([text])[0], "<u4").tolist() == plain(text)
+    assert sum(" commonbbb " in f"{x} " for x in strings) == 1
+    assert len(strings) < 40 * 12
+
+
 def used(groups, window):
     out = Counter()
     for pattern, n in groups.items():
